@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -33,7 +34,8 @@ class Codec(dict):
         self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.asarray(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.merge(piece.encode("utf-8", "surrogatepass"))
+        found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             if len(self) >= CACHE:
                 self.clear()

@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,25 +28,24 @@ from tessella.session import cut
 WORDS, SIMILAR, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 24, 6, 0.9999, 1024
 CACHE = 400_000
 SEED = 20_011
-_BLANKS = re.compile(r"[ \t\n\x0b\x0c\r]+")
 
 
 class Hashes(dict):
-    """64-bit hashes of words."""
+    """64-bit hashes of words, as bytes."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        found = self[word] = xxhash.xxh3_64_digest(word)
         return found
 
 
 def shingles(text: str, hashes: Hashes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; a shorter text is one shingle, an empty one none."""
-    found = [hashes[w] for w in _BLANKS.split(text) if w]
-    if not found:
+    # bytes.split() parts at the six ASCII blanks and nothing else.
+    h = np.frombuffer(b"".join([hashes[w] for w in text.encode("utf-8", "surrogatepass").split()]), np.uint64)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.asarray(found, np.uint64)
     n = min(n, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
@@ -55,7 +53,8 @@ def shingles(text: str, hashes: Hashes, n: int = WORDS) -> np.ndarray:
         out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def prefix_depth(trees: int = TREES, depth: int = DEPTH, similar: float = SIMILAR, recall: float = RECALL) -> int:
@@ -103,8 +102,8 @@ def _ties(trees: int, depth: int, least: int) -> Callable:
         order = np.lexsort((frame["row"].to_numpy(), *path.T[::-1]))
         sign, ids = sign[order], frame["row"].to_numpy()[order]
         src, dst, free = [], [], np.arange(len(ids))
-        # Sorted paths put the longest shared prefixes side by side; a text's first match in this
-        # order is its tie, and what stays free is compared with every later text of the meeting.
+        # Sorted paths put the longest shared prefixes first: most texts are tied there, at once. What
+        # stays free is compared with every text of the meeting, whose prefix is the shortest one.
         while len(free) > 1:
             queue, free = [int(free[0])], free[1:]
             while queue and len(free):
@@ -198,9 +197,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     prefix = prefix_depth(trees, depth, similar, recall)
     reps = signed.join(texts.select("row"), "row", "left_semi").where("size > 0").select("row", "sign")
     paths = reps.select("row", F.posexplode(F.array(*[F.substring("sign", t * depth + 1, prefix) for t in range(trees)])).alias("tree", "path"))
-    crowd = paths.groupBy("tree", "path").agg(F.count("*").alias("n")).where("n > 1").select("tree", "path")
-    met = paths.join(crowd, ["tree", "path"]).join(reps, "row")
-    ties = met.groupBy("tree", "path").applyInPandas(_ties(trees, depth, least_agreement(trees * depth, similar)), "src long, dst long")
+    crowd = paths.groupBy("tree", "path").agg(F.count("*").alias("n")).where("n > 1").select("tree", "path", F.ceil(F.col("n") / (4 * block)).cast("int").alias("parts"))
+    # A meeting of many texts is dealt to pairs of parts, so that no task holds more than two parts of it.
+    met = paths.join(crowd, ["tree", "path"]).withColumn("part", F.expr("cast(pmod(xxhash64(row), parts) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("row", "tree", "path", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).join(reps, "row")
+    ties = met.groupBy("tree", "path", "p", "q").applyInPandas(_ties(trees, depth, least_agreement(trees * depth, similar)), "src long, dst long")
     families = connected_components(ties.distinct())
     families = cut(families.withColumnRenamed("id", "row").join(texts, "row"))
 

@@ -30,7 +30,7 @@ class Rule:
 RULES = (
     Rule(0, "too_few_words", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    Rule(2, "symbols", "10 * n_symbols > 5 * n_words"),
+    Rule(2, "symbols", "10 * n_symbols > 3 * n_words"),
     Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     Rule(5, "few_letters", "10 * n_letters < 5 * word_chars"),
@@ -141,7 +141,7 @@ m as (
   from x left join r using (id)),
 b as (
   select *, (case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end
-    + case when 10 * n_symbols > 5 * n_words then 4 else 0 end + case when 10 * n_dup_lines > 3 * n_lines then 8 else 0 end
+    + case when 10 * n_symbols > 3 * n_words then 4 else 0 end + case when 10 * n_dup_lines > 3 * n_lines then 8 else 0 end
     + case when word_chars < 2 * n_words or word_chars > 20 * n_words then 16 else 0 end
     + case when 10 * n_letters < 5 * word_chars then 32 else 0 end + case when 10 * n_marks > 3 * n_words then 64 else 0 end)::bigint failed_bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 base_failed, failed_bits = 0 kept, failed_bits from b

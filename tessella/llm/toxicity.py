@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Production parameters: buckets of hashed words, most labelled rows of either class used for the fit, folds, steps, and the decision.
-BUCKETS, MAX_ROWS, FOLDS, STEPS, RATE, RIDGE, THRESHOLD = 1 << 18, 2_000, 3, 120, 0.3, 1e-3, 0.5
-#: A word counts as a feature if it leans on a category beyond chance: chi-square, in this many documents at least.
-LEAST_CHI2, LEAST_DOCS, MAX_WORDS = 30.0, 5, 2_000
+BUCKETS, MAX_ROWS, FOLDS, STEPS, RATE, RIDGE, THRESHOLD = 1 << 20, 4_000, 3, 120, 0.3, 1e-3, 0.5
+#: A bucket counts as a feature if it leans on a category beyond chance: least chi-square, least documents, most features; lengths of word beginnings.
+LEAST_CHI2, LEAST_DOCS, MAX_FEATURES, STEMS = 30.0, 5, 2_000, (4, 5, 6, 7)
 CACHE = 400_000
 WORD = regex.compile(r"\p{L}+")
 
@@ -38,19 +38,44 @@ def categories(text: Column, toxic: Column, kinds: Mapping[str, tuple[str, ...]]
 
 
 class Buckets(dict):
-    """The bucket of a lower-case word."""
+    """The buckets of a lower-case word: of the whole word, and of its first letters."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, slot: np.ndarray | None = None):
         super().__init__()
         self.buckets = buckets
+        self.slot = None if slot is None else {int(b): int(slot[b]) for b in np.flatnonzero(slot >= 0)}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> list[int]:
         if len(self) >= CACHE:
             self.clear()
-        found = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets
+        names = [word + " ", *[word[:n] for n in STEMS if len(word) > n]]
+        found = [zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.buckets for name in names]
+        if self.slot is not None:
+            found = [self.slot[k] for k in found if k in self.slot]
+        self[word] = found
         return found
 
 
+def features(text: str, table: Buckets) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets (or features, if the table has slots) of a text, and log(1 + how often)."""
+    found = [k for word in WORD.findall(text.lower()) for k in table[word]]
+    keys, counts = np.unique(np.asarray(found, np.int64), return_counts=True)
+    return keys, np.log1p(counts)
+
+
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _stack(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, feature and value of every entry."""
+    at = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
+    return at, np.concatenate([*(k for k, _ in rows), np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*(v for _, v in rows), np.empty(0)])
+
+
+def _sigmoid(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -60, 60)))
+
+
 @dataclass(frozen=True)
 class Chain:
     """`slot` maps a bucket to a feature or -1; weights has a row per category: features, earlier chances, bias."""
@@ -59,75 +84,66 @@ class Chain:
     slot: np.ndarray
     weights: tuple[np.ndarray, ...]
 
-    def chances(self, rows: list[np.ndarray]) -> np.ndarray:
-        """A row per document (its feature numbers), a column per category."""
-        n = int(self.slot.max()) + 1 if len(self.slot) else 0
-        at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        cols = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+    def chances(self, rows: Rows) -> np.ndarray:
+        """A row per document, a column per category."""
+        n = int(self.slot.max()) + 1
+        at, cols, values = _stack(rows)
         out = np.zeros((len(rows), len(self.names)))
         for k, w in enumerate(self.weights):
-            score = np.bincount(at, w[cols], len(rows)) + out[:, :k] @ w[n : n + k] + w[-1]
-            out[:, k] = 1 / (1 + np.exp(-np.clip(score, -60, 60)))
+            out[:, k] = _sigmoid(np.bincount(at, w[cols] * values, len(rows)) + out[:, :k] @ w[n : n + k] + w[-1])
         return out
 
 
-def _linear(at: np.ndarray, cols: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by full-batch steps; weights of words, of extra columns, bias."""
+def _linear(rows: Rows, n: int, extra: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by full-batch steps; weights of features, of extra columns, bias."""
+    at, cols, values = _stack(rows)
     docs, k = len(y), extra.shape[1]
     w, m, v = np.zeros(n + k + 1), np.zeros(n + k + 1), np.zeros(n + k + 1)
     ridge = np.append(np.full(n + k, RIDGE), 0)
     for t in range(1, STEPS + 1):
-        score = np.bincount(at, w[cols], docs) + extra @ w[n : n + k] + w[-1]
-        error = 1 / (1 + np.exp(-np.clip(score, -60, 60))) - y
-        grad = np.concatenate([np.bincount(cols, error[at], n), extra.T @ error, [error.sum()]]) / max(docs, 1) + ridge * w
+        error = _sigmoid(np.bincount(at, w[cols] * values, docs) + extra @ w[n : n + k] + w[-1]) - y
+        grad = np.concatenate([np.bincount(cols, error[at] * values, n), extra.T @ error, [error.sum()]]) / max(docs, 1) + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
 
 
-def _some(rows: list[np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    some = [rows[i] for i in np.flatnonzero(keep)]
-    return np.repeat(np.arange(len(some)), [len(r) for r in some]), np.concatenate([*some, np.empty(0, np.int64)]).astype(np.int64)
-
-
 def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...], buckets: int = BUCKETS, folds: int = FOLDS) -> Chain:
     """Fit the chain on a bounded sample; `labels` has a column per category, in chain order.
 
     Features are chosen by chi-square on the sample. Without rows, or where a category has a
     single class, its model is a bias alone. Fold k holds the documents k, k + folds, and so on.
     """
-    table = Buckets(buckets)
-    docs = [np.unique([table[w] for w in WORD.findall(t.lower())]).astype(np.int64) for t in texts]
-    every = np.concatenate([*docs, np.empty(0, np.int64)])
-    df = np.bincount(every, minlength=buckets)
-    chi2 = np.zeros(buckets)
-    n = len(docs)
+    table, n = Buckets(buckets), len(texts)
+    docs = [features(t, table) for t in texts]
+    count = lambda some: np.bincount(_stack([docs[i] for i in np.flatnonzero(some)])[1], minlength=buckets)
+    df, chi2 = count(np.ones(n)), np.zeros(buckets)
     for k in range(len(names)):
-        y = labels[:, k].astype(bool) if n else np.zeros(0, bool)
-        if 0 < y.sum() < n:
-            pos = np.bincount(_some(docs, y)[1], minlength=buckets)
-            a, b, c, d = pos, df - pos, y.sum() - pos, n - y.sum() - (df - pos)
-            chi2 = np.maximum(chi2, n * (a * d - b * c) ** 2.0 / np.maximum(1, (a + b) * (c + d) * float(y.sum()) * float(n - y.sum())))
+        yes = float(labels[:, k].sum()) if n else 0.0
+        if 0 < yes < n:
+            both = count(labels[:, k])
+            lean = both * (n - yes - (df - both)) - (df - both) * (yes - both)
+            chi2 = np.maximum(chi2, n * lean**2.0 / np.maximum(1, df * (n - df) * yes * (n - yes)))
     chosen = np.flatnonzero((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
-    chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")][:MAX_WORDS])
+    chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")][:MAX_FEATURES])
     slot = np.full(buckets, -1, np.int64)
     slot[chosen] = np.arange(len(chosen))
-    rows = [r[r >= 0] for r in (slot[d] for d in docs)]
+    rows = [(slot[k][slot[k] >= 0], v[slot[k] >= 0]) for k, v in docs]
     fold, out, weights = np.arange(n) % folds, np.zeros((n, 0)), []
+    pick = lambda some: [rows[i] for i in np.flatnonzero(some)]
     for k in range(len(names)):
         y = labels[:, k].astype(float) if n else np.zeros(0)
         if not n or y.min() == y.max():
             weights.append(np.append(np.zeros(len(chosen) + k), 4.0 * (2 * y[0] - 1) if n else -4.0))
-            out = np.column_stack([out, np.full(n, y[0] if n else 0)])
+            out = np.column_stack([out, y])
             continue
-        at, cols = _some(rows, np.ones(n, bool))
-        weights.append(_linear(at, cols, len(chosen), out, y))
+        weights.append(_linear(rows, len(chosen), out, y))
         own = np.zeros(n)
-        for f in range(folds):
+        for f in range(min(folds, n)):
             held = fold == f
-            w = _linear(*_some(rows, ~held), len(chosen), out[~held], y[~held])
-            at, cols = _some(rows, held)
-            own[held] = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[cols], held.sum()) + out[held] @ w[len(chosen) : -1] + w[-1], -60, 60)))
+            w = _linear(pick(~held), len(chosen), out[~held], y[~held])
+            at, cols, values = _stack(pick(held))
+            own[held] = _sigmoid(np.bincount(at, w[cols] * values, int(held.sum())) + out[held] @ w[len(chosen) : -1] + w[-1])
         out = np.column_stack([out, own])
     return Chain(tuple(names), slot, tuple(weights))
 
@@ -148,13 +164,9 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tupl
 
 def _run(chain: Chain, threshold: float) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = Buckets(len(chain.slot))
+        table = Buckets(len(chain.slot), chain.slot)
         for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                found = np.fromiter({table[w] for w in set(WORD.findall(text.lower()))}, np.int64)
-                found = chain.slot[found]
-                rows.append(found[found >= 0])
+            rows = [features(text, table) for text in frame["text"]]
             chances = chain.chances(rows)
             out = pd.DataFrame(chances, columns=[f"p_{n}" for n in chain.names])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
@@ -167,7 +179,7 @@ def _run(chain: Chain, threshold: float) -> Callable:
 def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, a chance p_<category> per category, and is_toxic, one row per input row.
 
-    Whole texts are read; a word counts once, so length and repeats don't dilute it. Null and
+    Whole texts are read; features are not scaled by a text's length, so length doesn't dilute them. Null and
     empty texts have no words and get the chain's bias. Nothing is shuffled or gathered.
     """
     kind = docs.schema["doc_id"].dataType

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 #: Rules as (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Production parameters: buckets of hashed n-grams, their sizes, most labelled rows used for the fit, and the fit itself.
-BUCKETS, SIZES, MAX_LABELLED, STEPS, RATE, RIDGE = 4096, (3, 4), 5_000, 400, 0.3, 1e-3
+BUCKETS, SIZES, MAX_LABELLED, STEPS, RATE, RIDGE = 4096, (3, 4), 5_000, 300, 0.1, 1e-5
 
 #: The labelled table, as name parts that stand for unwanted and for ordinary hosts.
 UNWANTED = "casino-win spam-farm adult-x free-bets cheap-pills ads-track poker-online xxx-cams viagra-shop loan-now lottery-prize click-bait porn-tube crack-keygen replica-watch fast-cash bet-bonus hot-singles warez-dl pills-direct".split()
 ORDINARY = "news library museum garden weather kitchen history physics school travel music science forum recipes sports village theatre atlas harbour archive therein whether another thereon nation notion edition winter render order".split()
+#: Common letter pairs; two or three of them make the names of further ordinary hosts.
+PAIRS = "th er on an re in ti es or nt ea at".split()
 SUBDOMAINS, PATHS = ("", "www.", "blog.", "m."), ("/en/12", "/de/7.html", "/fr/431?page=2", "/es/88/", "/index", "/")
 DOMAINS = ("example.com", "example.net", "example.org")
 
@@ -21,7 +23,8 @@ DOMAINS = ("example.com", "example.net", "example.org")
 def labelled_rows() -> list[tuple[str, int]]:
     """The small labelled URL table: (url, 1 for unwanted)."""
     rows = []
-    for label, names in ((1, UNWANTED), (0, ORDINARY)):
+    built = [a + b + (PAIRS[(i + 2 * j) % len(PAIRS)] if (i + j) % 2 else "") for i, a in enumerate(PAIRS) for j, b in enumerate(PAIRS)]
+    for label, names in ((1, UNWANTED), (0, ORDINARY + built)):
         for k, name in enumerate(names):
             for j, sub in enumerate(SUBDOMAINS):
                 rows.append((f"https://{sub}{name}.{DOMAINS[(k + j) % len(DOMAINS)]}{PATHS[(k * 5 + j) % len(PATHS)]}", label))
