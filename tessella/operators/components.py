@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     logarithm of the vertex count; each ends in a checkpoint.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    work = cut(_tidy(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    work = pairs.where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     before = _state(work)
     for _ in range(max_rounds):
         both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -51,7 +52,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    loops = pairs.where("a = b").select(F.col("a").alias("id")).distinct()
+    loops = pairs.where("a = b").select(F.col("a").alias("id"))
     member = work.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = member.select(F.col("component").alias("id"), "component").distinct()
     found = member.unionByName(roots)
