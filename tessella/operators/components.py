@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     work = pairs.where("a > b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     before = _state(work)
     for _ in range(max_rounds):
-        both = work.unionByName(work.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = work.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         large = _tidy(_stars(both, larger_only=True))
         work = cut(_tidy(_stars(large, larger_only=False)))
         after = _state(work)
