@@ -1,0 +1,298 @@
+"""Every operator against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessella.llm import bpe, exact, linedup, nearjoin, packing, pii, quality, shard, toxicity, urlfilter
+
+BASE = "the quick brown fox jumps over a lazy dog while seven wizards brew tea near old stone bridges and sing of rivers".split()
+EXTRA = ["h", "row", "n", "t", "w", "key", "site", "lines", "k", "es", "n_lines", "ids"]
+
+
+def make(spark, rows, extra=True):
+    """rows of (doc_id, text); with columns whose names the operators use inside."""
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", *[f"'x' as {c}" for c in EXTRA]) if extra else df
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+AWKWARD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, prose(1, 400)), (5, prose(1, 400)), (None, "null id " + prose(2, 60)), (7, prose(1, 400)), (8, "x" * 5000), (9, "é\u0085\u00a0ß 日本 \U0001f600\n" * 40), (10, prose(3, 9000))]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return make(spark, AWKWARD).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return make(spark, AWKWARD).limit(0)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_quality(awkward, empty):
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.query(awkward).collect())
+    want = Counter()
+    for i, t in AWKWARD:
+        w = words(t)
+        g = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        c = Counter(g)
+        seen = [x for x in (t or "").split("\n") if words(x)]
+        want[(i, len(w), sum(map(len, w)), sum((t or "").count(s) for s in quality.SYMBOLS), len(seen) - len(set(seen)), len({k + j for k, x in enumerate(g) if c[x] > 1 for j in range(3)}))] += 1
+    assert got == want
+    assert quality.query(empty).count() == 0
+    entries = quality.ledger(awkward).cache()
+    kept = quality.apply_policy(entries).where("kept").count()
+    for r in quality.ablation(entries).collect():
+        without = tuple(n for n in quality.POLICIES["v2"] if n != r["rule"])
+        assert r["n_kept_without"] == quality.apply_policy(entries, without).where("kept").count() and r["n_rejected_alone"] == r["n_kept_without"] - kept
+    assert quality.quality_filter(awkward).columns == awkward.columns and quality.quality_filter(awkward).count() == kept
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact(awkward, empty, weak):
+    """With a constant hash all texts collide, and only their bytes tell them apart."""
+    got = [tuple(r) for r in exact.exact_duplicates(awkward, F.lit("x") if weak else None, keep="max").collect()]
+    groups = defaultdict(list)
+    for i, t in AWKWARD:
+        groups[t or ""].append(i)
+    want = Counter((i, max((x for x in ids if x is not None), default=None), len(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for i in ids)
+    assert Counter((a, b, c, e) for a, b, c, _, e in got) == want
+    assert sum(r[3] for r in got) == len(groups)
+    assert exact.exact_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_line_dedup(spark, empty, bound):
+    docs = make(spark, [(k, f"menu\n{prose(k, 5)}\n\n{'tail' if k % 20 == 0 else prose(k + 900, 3)}") for k in range(60)] + [(99, None), (100, "menu")])
+    got = {r["doc_id"]: r for r in linedup.drop_boilerplate(docs, broadcast_lines=bound).collect()}
+    assert all("menu" not in (r["text"] or "") for r in got.values())
+    assert got[99]["text"] is None and got[99]["n_lines"] == 0 and got[100]["text"] == "" and got[0]["text"] == f"{prose(0, 5)}\n\ntail"
+    assert got[1]["n_dropped"] == 1 and got[1]["n_lines"] == 4 and got[1]["n_chars"] == len(got[1]["text"])
+    assert linedup.drop_boilerplate(empty, broadcast_lines=bound).count() == 0
+
+
+def near_brute(rows, similar=0.8):
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in rows]
+    linked = lambda a, b: (rows[a][1] or "") == (rows[b][1] or "") or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]))
+    near = [[b for b in range(len(rows)) if b != a and linked(a, b)] for a in range(len(rows))]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for a, bs in enumerate(near):
+            for b in bs:
+                label[a] = label[b] = min(label[a], label[b])
+    return near, label
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_near_join(spark, empty, block):
+    """Families of edited copies; blocks of three texts force pairs of blocks and of parts."""
+    r, rows = random.Random(5), [(100 + k, t) for k, (_, t) in enumerate(AWKWARD)]
+    for f in range(6):
+        base = prose(50 + f, 120).split()
+        for k in range(9):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(99)}"
+            rows.append((1000 + 10 * f + k, " ".join(w)))
+    near, label = near_brute(rows)
+    ids = [i for i, _ in rows]
+    got = {x["doc_id"]: x for x in nearjoin.near_duplicates(make(spark, rows), block=block).collect()}
+    assert {i: got[i]["n_links"] for i in ids} == {i: len(n) for i, n in zip(ids, near)}
+    assert {i: got[i]["class_id"] for i in ids} == {i: ids[c] for i, c in zip(ids, label)}
+    assert sum(x["kept"] for x in got.values()) == len(set(label))
+    if block == 1024:
+        assert nearjoin.near_duplicates(empty).count() == 0
+
+
+def test_near_repeats_and_nulls(awkward):
+    got = nearjoin.drop_near_duplicates(awkward)
+    assert got.columns == awkward.columns
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in got.select("doc_id").collect()))[-1] == (True, 0)
+    assert got.count() == 8
+
+
+def test_prefix_depth():
+    assert nearjoin.prefix_depth(24, 6, 0.8, 0.9999) == 5 and nearjoin.prefix_depth(24, 6, 0.8, 0.8) == 6
+    with pytest.raises(ValueError):
+        nearjoin.prefix_depth(1, 6, 0.8, 0.9999)
+
+
+def test_packing(awkward, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    want = Counter((i, np.asarray(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, x in AWKWARD)
+    for buffer in (1000, 10**6):
+        rows = packing.pack(awkward.coalesce(1), path, buffer=buffer).collect()
+        docs = defaultdict(list)
+        for r in rows:
+            docs[(r["doc_id"], r["doc_tokens"])].append((r["start"], r["ids"]))
+        whole = defaultdict(bytes)
+        copies = Counter((i, len(b) // 4) for (i, b), n in want.items() for _ in range(n))
+        for key, pieces in docs.items():
+            for start, ids in sorted(pieces):
+                whole[key] += ids
+        assert {k: len(v) // 4 for k, v in whole.items()} == {k: k[1] * n for k, n in copies.items()}
+        assert all(whole[(i, len(b) // 4)] == b for (i, b), n in want.items() if copies[(i, len(b) // 4)] == 1)
+        windows = defaultdict(list)
+        for r in rows:
+            windows[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in windows.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 2048
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_best_fit():
+    """The segment tree against a search of all open windows."""
+    r = random.Random(3)
+    lengths = np.asarray([r.randint(1, 64) for _ in range(400)])
+    where, offset = packing.Packer(64, 0).place(lengths)
+    open_, fill = {}, 0
+    for k in np.argsort(-lengths, kind="stable"):
+        fits = [room for room in open_.values() if room >= lengths[k]]
+        room = open_.get(int(where[k]), 64)
+        assert room == (min(fits) if fits else 64) and offset[k] == 64 - room
+        open_[int(where[k])] = room - lengths[k]
+        fill += lengths[k]
+    assert 9 * len(open_) <= 11 * -(-fill // 64) + 6  # the bound proven for best-fit decreasing
+
+
+def test_bpe(awkward, empty):
+    import base64
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.load(path, public_tokenizers.PATTERN)
+    r = random.Random(9)
+    for n in range(300):
+        text = "".join(r.choice(["a", "b'll", "'re", " ", "  ", "\n", "12", "!!", "é", "x" * 30, " " * 20, "don't", "日本", "'"]) for _ in range(r.randint(0, 80)))
+        for chunk, overlap in ((7, 3), (16, 8), (40, 20)):
+            assert np.frombuffer(bpe.encode_text(codec, text, chunk, overlap), "<u4").tolist() == ref.encode_ordinary(text), (text, chunk)
+    want = Counter((i, np.asarray(ref.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in AWKWARD)
+    for chunk, overlap in ((bpe.CHUNK, bpe.OVERLAP), (512, 64)):
+        out = bpe.decode(bpe.encode(awkward, path, public_tokenizers.PATTERN, chunk, overlap), path, public_tokenizers.PATTERN).collect()
+        assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["data"])) for r in out) == want
+    assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_urls(spark):
+    urls = [None, "", "nourl", "http://A.NET", "http://A.NET/x", "https://m.Example.NET/en/7?q#f", "http://example.com/de/", "http://notexample.com/de/", "x://é.org/fr/a#b", "http://www.casino-win.example.com/en/3", "http://museum.example.com/en/3", "a://b://c/d"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' as host", "'y' as rule", "'z' as path")
+    got = {r["page_id"]: r for r in urlfilter.query(pages).collect()}
+    assert [(got[k]["host"], got[k]["path"], got[k]["rule"]) for k in range(12)] == [("", "", None), ("", "", None), ("", "", None), ("a.net", "", None), ("a.net", "/x", "net/"), ("m.example.net", "/en/7", "example.net/en/"), ("example.com", "/de/", "example.com/de/"), ("notexample.com", "/de/", None), ("é.org", "/fr/a", "org/fr/"), ("www.casino-win.example.com", "/en/3", None), ("museum.example.com", "/en/3", None), ("b:", "//c/d", None)]
+    assert [got[k]["verdict"] for k in (4, 5, 6, 8, 9, 10)] == ["block", "allow", "block", "allow", "block", "allow"]
+    assert urlfilter.query(pages.limit(0)).count() == 0
+    assert urlfilter.fit(urlfilter.labelled_table(spark).limit(0))[1] == 0
+
+
+def test_toxicity(spark, awkward):
+    r = random.Random(1)
+    bad = [w for ws in toxicity.KINDS.values() for w in ws[:5]]
+    text = lambda k, tox: " ".join([*prose(k, 80).split(), *(r.sample(bad, 4) if tox else [])])
+    rows = [(k, text(k, k % 3 == 0)) for k in range(300)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(200)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["is_toxic"] for x in toxicity.query(make(spark, rows), labels).collect()}
+    held = [k for k in range(200, 300)]
+    assert sum(got[k] == (k % 3 == 0) for k in held) >= 97
+    out = toxicity.query(awkward, labels.limit(0))
+    assert out.count() == len(AWKWARD) and out.where("is_toxic").count() == 0
+
+
+def test_pii(spark, empty):
+    texts = [
+        (1, "Mail ann.7@mail1.example.com or ANN.7@MAIL1.EXAMPLE.COM, call +1 (017) 555-7713 now."),
+        (2, "Call 017-555-7713; card 4111 1111 1111 1111, host 10.2.3.4, ssn 123-45-6789."),
+        (3, 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" and Mrs. Anna Schmidt met Mr. Schmidt and Госпожа Иванова.'),
+        (4, None), (5, ""), (6, "Version 2.0 of CC BY-NC 4.0 has 12 parts."), (7, "mail bob.8@mail1.example.com or ann.7@mail1.example.com"),
+    ]
+    for bound in (500, 0):
+        got = {r["doc_id"]: r for r in pii.pseudonymise(make(spark, texts), literal_overrides=bound).collect()}
+        mails = re.findall(r"\S+@\S+\.com", got[1]["text"], re.I)
+        assert mails[0].lower() == mails[1].lower().rstrip(",") and "ann" not in got[1]["text"].lower() and mails[1].isupper() is False or mails[1].rstrip(",").isupper()
+        assert mails[0] in got[7]["text"] and got[7]["n_entities"] == 2 and len(set(re.findall(r"\S+@\S+", got[7]["text"]))) == 2
+        phone = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4})", got[1]["text"]).groups()
+        assert "-".join(phone) in got[2]["text"] and phone != ("017", "555", "7713")
+        card = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", got[2]["text"]).group(1)
+        digits = [int(c) for c in card.replace(" ", "")]
+        assert sum(x if k % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(digits)) % 10 == 0 and card != "4111 1111 1111 1111"
+        assert re.search(r"host (\d+\.){3}\d+,", got[2]["text"]) and "10.2.3.4" not in got[2]["text"] and "123-45-6789" not in got[2]["text"]
+        assert re.search(r'"[0-9a-f]{40}"', got[3]["text"]) and "b44e15" not in got[3]["text"] and "Schmidt" not in got[3]["text"] and "Иванова" not in got[3]["text"]
+        given = re.search(r"Mrs\. (\w+) \w+ met Mr\. \w+ and Госпожа [\u0400-\u04ff]+\.", got[3]["text"]).group(1)
+        assert given in pii.GIVEN["fL"]
+        assert got[4]["text"] is None and got[5]["text"] == "" and got[6]["text"] == texts[5][1] and got[6]["n_entities"] == 0
+    assert pii.pseudonymise(empty).count() == 0
+
+
+def test_pii_clashes(spark):
+    """Of ten one-digit numbers, three real ones leave enough for their surrogates, seven do not."""
+    found = spark.createDataFrame([("phone", c) for c in "123"], "kind string, canon string")
+    got = pii.resolve(found).collect()
+    assert len({r["value"] for r in got}) == 3 and not {r["value"] for r in got} & set("123")
+    with pytest.raises(RuntimeError):
+        pii.resolve(spark.createDataFrame([("phone", c) for c in "1234567"], "kind string, canon string"), rounds=5)
+
+
+def test_sharding(spark, awkward, empty):
+    got = [tuple(r) for r in shard.query(awkward).collect()]
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in AWKWARD)
+    assert Counter(r[:3] for r in got) == want and shard.query(empty).count() == 0
+    many = [tuple(r) for r in shard.query(make(spark, [(k, "x") for k in range(4000)]).repartition(5)).collect()]
+    slots = defaultdict(list)
+    for r in many:
+        slots[r[4]].append(r[5])
+        assert r[6] == r[4] or r[6] == 16
+    assert sorted(slots) == list(range(16)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert 150 < len([r for r in many if r[6] == 16]) < 330 and all(150 < len(v) < 360 for v in slots.values())
+
+
+def test_weights_move_only_their_subtree(spark):
+    leaf = lambda s, w=1.0: shard.Node(f"s{s}", w, s)
+    tree = lambda w: shard.Node("root", children=(shard.Node("a", children=(leaf(0), leaf(1))), shard.Node("b", children=(leaf(2), leaf(3, w)))))
+    moved = spark.range(3000).select(shard.place(F.col("id"), tree(1.0)).alias("a"), shard.place(F.col("id"), tree(2.0)).alias("b")).where("a <> b")
+    pairs = {(r["a"], r["b"]) for r in moved.distinct().collect()}
+    assert pairs and not pairs & {(0, 1), (1, 0)} and all(b in (2, 3) for _, b in pairs)
+
+
+def test_pipeline(spark, tmp_path):
+    """Stage by stage against plain Python on a small corpus; packing by its invariants."""
+    body = {k: prose(500 + k, 90) for k in range(12)}
+    rows = [(k, f"menu bar\n{t} call +1 (017) 555-7713") for k, t in body.items()] + [(50, f"menu bar\n{body[0]} call +1 (017) 555-7713"), (51, "too short"), (52, None)]
+    make(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    docs = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in docs.collect()} == {*range(12), 50}
+    docs = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    assert all("menu" not in r["text"] for r in docs.collect())
+    docs = corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path))
+    assert len({r["doc_id"] for r in docs.collect()} - {0, 50}) == 11 and docs.count() == 12
+    docs = corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path))
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert all("7713" not in r["text"] and r["text"].split(" call")[0] == body[r["doc_id"] % 50] and r["n_chars"] == len(r["text"]) for r in docs.collect())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.select("doc_id").distinct().count() == 12
