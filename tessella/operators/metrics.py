@@ -50,7 +50,7 @@ def assortativity(edges: DataFrame) -> DataFrame:
     """Correlation of the degrees at the ends of edges, both ways; null if all degrees are equal."""
     d = degrees(edges).select("id", "degree")
     ends = both_ways(edges).join(d, "id").join(d.select(F.col("id").alias("other"), F.col("degree").alias("d2")), "other")
-    return ends.agg(F.corr("degree", "d2").alias("assortativity"))
+    return ends.agg(F.try_divide(F.covar_pop("degree", "d2"), F.stddev_pop("degree") * F.stddev_pop("d2")).alias("assortativity"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
