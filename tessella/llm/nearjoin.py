@@ -92,29 +92,51 @@ def _signatures(n: int, values: int) -> Callable:
     return run
 
 
-def _ties(trees: int, depth: int, least: int) -> Callable:
-    """Ties of one meeting: a forest over its texts, whose signatures agree in `least` bytes."""
+def _tie(sign: np.ndarray, ids: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """Ties of one meeting: a forest over its texts, whose signatures agree in `least` bytes.
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
-        sign = np.frombuffer(b"".join(frame["sign"]), np.uint8).reshape(len(frame), -1)
-        path = sign[:, tree * depth : (tree + 1) * depth]
-        order = np.lexsort((frame["row"].to_numpy(), *path.T[::-1]))
-        sign, ids = sign[order], frame["row"].to_numpy()[order]
-        src, dst, free = [], [], np.arange(len(ids))
-        # Sorted paths put the longest shared prefixes first: most texts are tied there, at once. What
-        # stays free is compared with every text of the meeting, whose prefix is the shortest one.
-        while len(free) > 1:
-            queue, free = [int(free[0])], free[1:]
-            while queue and len(free):
-                at = queue.pop()
-                near = np.concatenate([(sign[free[k : k + 8192]] == sign[at]).sum(axis=1) >= least for k in range(0, len(free), 8192)])
-                src += [ids[at]] * int(near.sum())
-                dst += ids[free[near]].tolist()
-                queue += free[near].tolist()
-                free = free[~near]
+    The texts come in the order of their paths, so the longest shared prefixes are tied first,
+    most of them at once; what stays free is compared with every text of the meeting.
+    """
+    src, dst, free = [], [], np.arange(len(ids))
+    while len(free) > 1:
+        queue, free = [int(free[0])], free[1:]
+        while queue and len(free):
+            at = queue.pop()
+            near = np.concatenate([(sign[free[k : k + 8192]] == sign[at]).sum(axis=1) >= least for k in range(0, len(free), 8192)])
+            src += [ids[at]] * int(near.sum())
+            dst += ids[free[near]].tolist()
+            queue += free[near].tolist()
+            free = free[~near]
+    return src, dst
+
+
+def _ties(least: int) -> Callable:
+    """Ties of the meetings of a partition whose rows are sorted by meeting and path; one meeting is held at a time."""
+    names = ["tree", "path", "p", "q"]
+
+    def tied(rest: pd.DataFrame) -> pd.DataFrame:
+        new = np.append(True, np.any([rest[c].to_numpy()[1:] != rest[c].to_numpy()[:-1] for c in names], axis=0))
+        starts = np.append(np.flatnonzero(new), len(rest))
+        sign = np.frombuffer(b"".join(rest["sign"]), np.uint8).reshape(len(rest), -1)
+        ids, src, dst = rest["row"].to_numpy(), [], []
+        for a, b in zip(starts[:-1], starts[1:]):
+            one = _tie(sign[a:b], ids[a:b], least)
+            src += one[0]
+            dst += one[1]
         return pd.DataFrame({"src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64)})
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = np.all([held[c].to_numpy() == held[c].iloc[-1] for c in names], axis=0)
+            if not last[0]:
+                yield tied(held[~last])
+                held = held[last].reset_index(drop=True)
+        if held is not None and len(held):
+            yield tied(held)
+
     return run
 
 
@@ -201,8 +223,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     # A meeting of many texts is dealt to pairs of parts, so that no task holds more than two parts of it.
     met = paths.join(crowd, ["tree", "path"]).withColumn("part", F.expr("cast(pmod(xxhash64(row), parts) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("row", "tree", "path", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).join(reps, "row")
-    ties = met.groupBy("tree", "path", "p", "q").applyInPandas(_ties(trees, depth, least_agreement(trees * depth, similar)), "src long, dst long")
-    families = connected_components(ties.distinct())
+    met = met.repartition("tree", "path", "p", "q").withColumn("steps", F.substring("sign", F.col("tree") * depth + 1, F.lit(depth))).sortWithinPartitions("tree", "path", "p", "q", "steps")
+    ties = met.select("row", "tree", "path", "p", "q", "sign").mapInPandas(_ties(least_agreement(trees * depth, similar)), "src long, dst long")
+    families = connected_components(ties)
     families = cut(families.withColumnRenamed("id", "row").join(texts, "row"))
 
     blocks = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
