@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: Production parameters: tokens of a window, the id that ends a document, and the tokens that a task holds before it packs them.
 WINDOW, END_ID, BUFFER = 2048, 1, 2_000_000
 #: Encoded words that a worker remembers at most.
-CACHE = 400_000
+CACHE = 500_000
 
 
 class Words(dict):
@@ -29,7 +30,7 @@ class Words(dict):
     those with other white space too, go through the whole tokenizer.
     """
 
-    PLAIN = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
+    PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -46,7 +47,8 @@ class Words(dict):
         # The byte level writes printable Latin bytes as themselves, and the others, in order, from U+0100 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in plain]
-        self.letter = {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+        self.letter = {b: chr(0x100 + k) for k, b in enumerate(rest)}
+        self.pack = [struct.Struct(f"<{k}I").pack for k in range(65)]
         self.parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
@@ -54,14 +56,15 @@ class Words(dict):
         if found is None:
             if len(self.parts) >= CACHE:
                 self.parts.clear()
-            ids = self.merges.encode_batch_fast(["".join([self.letter[b] for b in part.encode("utf-8")])], add_special_tokens=False)[0].ids
-            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            ids = self.merges.encode_batch_fast([part.encode("utf-8").decode("latin-1").translate(self.letter)], add_special_tokens=False)[0].ids
+            found = self.parts[part] = self.pack[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
         if self.pattern is not None and len(text) <= 64 and self.PLAIN.fullmatch(text):
-            found = b"".join([self.part(p) for p in self.pattern.findall(text.lower())])
+            text = text.lower()
+            found = self.part(text) if text.isalpha() else b"".join([self.part(p) for p in self.pattern.findall(text)])
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             found = struct.pack(f"<{len(ids)}I", *ids)
