@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a chunk and of its overlap with the next.
 CHUNK, OVERLAP = 32_768, 512
-#: Encoded pieces that a worker remembers at most.
-CACHE = 400_000
+#: Encoded pieces that a worker remembers at most, and rows of a batch it gives back.
+CACHE, ROWS = 200_000, 256
 
 
 class Codec(dict):
@@ -122,11 +122,19 @@ def encode_cut(codec: Codec, text: str, starts: list[tuple[int, np.ndarray]], en
     return codec.encode([text[a:b] for a, b in zip(at, at[1:])])
 
 
-def _short(path: str, pattern: str) -> Callable:
+def _found(codec: Codec, ids: bytes, decoded: bool) -> dict:
+    return {"ids": ids, "data": codec.decode(ids)} if decoded else {"ids": ids}
+
+
+def _short(path: str, pattern: str, decoded: bool) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = load(path, pattern)
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [codec.encode(codec.pattern.findall(t)) for t in frame["text"]]})
+            for at in range(0, len(frame), ROWS):
+                part = frame.iloc[at : at + ROWS].reset_index(drop=True)
+                found = pd.DataFrame([_found(codec, codec.encode(codec.pattern.findall(t)), decoded) for t in part["text"]])
+                found.insert(0, "doc_id", part["doc_id"])
+                yield found
 
     return run
 
@@ -140,7 +148,7 @@ def _cuts(path: str, pattern: str) -> Callable:
     return run
 
 
-def _join(path: str, pattern: str, chunk: int) -> Callable:
+def _join(path: str, pattern: str, chunk: int, decoded: bool) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         codec = load(path, pattern)
         copies = int((frame["begin"] == 0).sum())
@@ -148,14 +156,17 @@ def _join(path: str, pattern: str, chunk: int) -> Callable:
         text = "".join(t[:chunk] for t in frame["text"][:-1]) + frame["text"].iloc[-1]
         starts = [(int(b), np.frombuffer(a, "<i8")) for b, a in zip(frame["begin"], frame["at"])]
         ids = encode_cut(codec, text, starts, [int(b) + len(t) for b, t in zip(frame["begin"], frame["text"])])
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1].repeat(copies), "ids": [ids] * copies})
+        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1].repeat(copies), **{name: [value] * copies for name, value in _found(codec, ids, decoded).items()}})
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): every row's ids as little-endian 32-bit integers in one binary value.
 
+    With `decoded`, a third column `data` holds the bytes that the ids decode to, found by the same
+    worker, so that a round trip needs one Python process a task.
+
     Null texts count as empty and give no ids. A text of one chunk is encoded where it is read.
     Longer ones are cut into chunks that are dealt out and pre-tokenised apart, then meet per
     text to be stitched and encoded, whole. Rows that repeat id and text meet as one and come
@@ -163,14 +174,15 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, ids binary" + ", data binary" * decoded
     base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"))
     limit = chunk + overlap
-    short = base.where(F.length("text") <= limit).mapInPandas(_short(path, pattern), f"doc_id {kind}, ids binary")
+    short = base.where(F.length("text") <= limit).mapInPandas(_short(path, pattern, decoded), schema)
     begin = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)))
     parts = base.where(F.length("text") > limit).withColumn("key", F.sha2("text", 256)).select("doc_id", "key", F.length("text").alias("n"), "text", begin.alias("begin"))
     parts = parts.select("doc_id", "key", "n", "begin", F.substring(F.col("text"), F.col("begin") + 1, F.lit(limit)).alias("text"))
     parts = parts.repartition("key", "begin").mapInPandas(_cuts(path, pattern), f"doc_id {kind}, key string, n int, begin int, text string, at binary")
-    long = parts.groupBy("doc_id", "key").applyInPandas(_join(path, pattern, chunk), f"doc_id {kind}, ids binary")
+    long = parts.groupBy("doc_id", "key").applyInPandas(_join(path, pattern, chunk, decoded), schema)
     return short.unionByName(long)
 
 
@@ -191,5 +203,5 @@ def query(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(docs, path, pattern), path, pattern)
+    out = encode(docs, path, pattern, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

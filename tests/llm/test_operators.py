@@ -198,6 +198,8 @@ def test_bpe(awkward, empty):
     for chunk, overlap in ((bpe.CHUNK, bpe.OVERLAP), (512, 64)):
         out = bpe.decode(bpe.encode(awkward, path, public_tokenizers.PATTERN, chunk, overlap), path, public_tokenizers.PATTERN).collect()
         assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["data"])) for r in out) == want
+        both = bpe.encode(awkward, path, public_tokenizers.PATTERN, chunk, overlap, decoded=True).collect()
+        assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["data"])) for r in both) == want
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
