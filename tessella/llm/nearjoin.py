@@ -26,7 +26,8 @@ from tessella.session import cut
 
 #: Production parameters: words of a shingle, similarity, trees and their full depth, recall of a pair at the threshold, texts of a block.
 WORDS, SIMILAR, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 24, 6, 0.9999, 1024
-CACHE = 400_000
+#: Words that a worker remembers at most, and shingles of a family that it compares at once.
+CACHE, COLUMNS = 100_000, 1024
 SEED = 20_011
 
 
@@ -157,9 +158,9 @@ def _verify(n: int, similar: float) -> Callable:
         inter = np.zeros((len(left), len(right)), np.float32)
         order = np.argsort(col, kind="stable")
         at, col = at[order], col[order]
-        for begin in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
-            a, b = np.searchsorted(col, (begin, begin + 4096))
-            table = np.zeros((len(sets), 4096), np.float32)
+        for begin in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            a, b = np.searchsorted(col, (begin, begin + COLUMNS))
+            table = np.zeros((len(sets), COLUMNS), np.float32)
             table[at[a:b], col[a:b] - begin] = 1
             inter += table[left] @ table[right].T
         union = sizes[left][:, None] + sizes[right][None, :] - inter
