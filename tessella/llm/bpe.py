@@ -174,16 +174,17 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, ids binary" + ", data binary" * decoded
-    base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"))
+    schema = "doc_id string, ids binary" + ", data binary" * decoded
+    # A string carries null and large ids unchanged through pandas.
+    base = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text.alias("text"))
     limit = chunk + overlap
     short = base.where(F.length("text") <= limit).mapInPandas(_short(path, pattern, decoded), schema)
     begin = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)))
     parts = base.where(F.length("text") > limit).withColumn("key", F.sha2("text", 256)).select("doc_id", "key", F.length("text").alias("n"), "text", begin.alias("begin"))
     parts = parts.select("doc_id", "key", "n", "begin", F.substring(F.col("text"), F.col("begin") + 1, F.lit(limit)).alias("text"))
-    parts = parts.repartition("key", "begin").mapInPandas(_cuts(path, pattern), f"doc_id {kind}, key string, n int, begin int, text string, at binary")
+    parts = parts.repartition("key", "begin").mapInPandas(_cuts(path, pattern), "doc_id string, key string, n int, begin int, text string, at binary")
     long = parts.groupBy("doc_id", "key").applyInPandas(_join(path, pattern, chunk, decoded), schema)
-    return short.unionByName(long)
+    return short.unionByName(long).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -195,7 +196,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": frame["ids"], "data": [None if i is None else codec.decode(i) for i in frame["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, ids binary, data binary")
+    base = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
+    return base.mapInPandas(run, "doc_id string, ids binary, data binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -180,7 +180,7 @@ def test_best_fit():
     assert 9 * len(open_) <= 11 * -(-fill // 64) + 6  # the bound proven for best-fit decreasing
 
 
-def test_bpe(awkward, empty):
+def test_bpe(spark, awkward, empty):
     import base64
 
     import tiktoken
@@ -201,6 +201,9 @@ def test_bpe(awkward, empty):
         both = bpe.encode(awkward, path, public_tokenizers.PATTERN, chunk, overlap, decoded=True).collect()
         assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["data"])) for r in both) == want
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
+    ids = {2**53 + 1, 2**62 + 3, None}
+    large = make(spark, [(k, "a b") for k in ids])
+    assert {r["doc_id"] for r in bpe.decode(bpe.encode(large, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()} == ids
 
 
 def test_urls(spark):
