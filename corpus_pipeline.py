@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; its documents stay."""
-    return linedup.drop_boilerplate(docs).select(*docs.columns)
+    """Boilerplate lines of a source go, those at the ratio too; its documents stay."""
+    return linedup.drop_boilerplate(docs, margin=linedup.CHANCE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,26 +10,46 @@ from tessella.session import cut
 
 #: Production parameters: a line on more than a tenth of a site's pages, and on five at least, is boilerplate.
 MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Standard errors by which a line's count may lie under its share by chance; 0 leaves the bare threshold.
+CHANCE = 3.0
 #: Up to so many (site, line) pairs of 8 bytes and a site name are broadcast; beyond, sites are joined with salt.
 BROADCAST_LINES = 100_000
 SALTS = 64
 
 
-def boilerplate(docs: DataFrame, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _above(n: str, pages: str, max_ratio: float, margin: float) -> Column:
+    """Whether `n` of `pages` is above the ratio, or at most `margin` standard errors of a count (1/2 on its root) below."""
+    if not margin:
+        return F.col(n) > F.col(pages) * F.lit(max_ratio)
+    return F.pow(F.sqrt(F.col(n)) + margin / 2, F.lit(2)) > F.col(pages) * F.lit(max_ratio)
+
+
+def boilerplate(docs: DataFrame, host: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, margin: float = 0.0) -> DataFrame:
     """(site, lines): per site the 64-bit hashes of the lines on more than `max_ratio` of its pages.
 
     A page counts once for each of its distinct lines; lines without a word are never counted.
     A site's list has at most (distinct lines a page) / max_ratio entries.
+
+    With a `margin` a line stays only if its count is clearly, by so many standard errors,
+    under the ratio, so a line at the ratio goes from all sites and not from those where
+    chance put it above. A line that the whole corpus has at that rate needs no `min_pages`
+    in the site, so small sites lose it too.
     """
     site = F.coalesce(host.cast("string"), F.lit(""))
     lines = F.expr(f"array_distinct(transform(filter(split(text, '\\n', -1), x -> x rlike r'{WORD_CHAR}'), x -> xxhash64(x)))")
     pages = docs.select(site.alias("site"), F.col("text").cast("string").alias("text")).select("site", lines.alias("lines"))
     totals = pages.groupBy("site").agg(F.count("*").alias("pages"))
-    counts = pages.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return counts.join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(max_ratio)).groupBy("site").agg(F.collect_set("line").alias("lines"))
+    counts = pages.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    if margin:
+        everywhere = counts.groupBy("line").agg(F.sum("n").alias("n")).where(F.col("n") >= min_pages)
+        everywhere = everywhere.join(F.broadcast(totals.agg(F.sum("pages").alias("pages"))), how="cross").where(_above("n", "pages", max_ratio, margin))
+        counts = counts.join(F.broadcast(everywhere.select("line", F.lit(True).alias("common"))), "line", "left").where((F.col("n") >= min_pages) | F.col("common"))
+    else:
+        counts = counts.where(F.col("n") >= min_pages)
+    return counts.join(totals, "site").where(_above("n", "pages", max_ratio, margin)).groupBy("site").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column | None = None, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, margin: float = 0.0) -> DataFrame:
     """The rows of `docs`, all columns, without their site's boilerplate lines, plus the long
     columns `n_lines` and `n_dropped` (which replace columns of these names).
 
@@ -40,7 +60,7 @@ def drop_boilerplate(docs: DataFrame, host: Column | None = None, max_ratio: flo
     third of the pages is spread over the cluster.
     """
     host = F.col("source") if host is None else host
-    lists = cut(boilerplate(docs, host, max_ratio, min_pages))
+    lists = cut(boilerplate(docs, host, max_ratio, min_pages, margin))
     entries = lists.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"]
     site = F.coalesce(host.cast("string"), F.lit(""))
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), site.alias("site"))

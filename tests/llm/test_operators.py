@@ -88,6 +88,16 @@ def test_line_dedup(spark, empty, bound):
     assert linedup.drop_boilerplate(empty, broadcast_lines=bound).count() == 0
 
 
+def test_line_at_the_ratio_goes_from_every_source(spark):
+    """On 3 to 7 of 50 pages by chance, and on 1 of a small site's 4; a line on one page a source stays."""
+    many = {"a": (50, 3), "b": (50, 4), "c": (50, 5), "d": (50, 6), "e": (50, 7), "small": (4, 1)}
+    rows = [(f"{prose(at * 100 + k, 5)}{chr(10) + 'menu' if k < n else ''}{chr(10) + 'quoted' if k == 3 else ''}", site) for at, (site, (pages, n)) in enumerate(many.items()) for k in range(pages)]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {k: t.replace("\nmenu", "") for k, (t, _) in enumerate(rows)}
+    assert sum("menu" in r["text"] for r in linedup.query(docs).collect()) == 3 + 4 + 5 + 1
+
+
 def near_brute(rows, similar=0.8):
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for _, t in rows]
     linked = lambda a, b: (rows[a][1] or "") == (rows[b][1] or "") or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b]))
