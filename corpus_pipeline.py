@@ -13,8 +13,8 @@ from tessella.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go."""
-    return quality.quality_filter(docs)
+    """Documents that the filter's policy rejects go."""
+    return quality.quality_filter(docs, quality.FILTER)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

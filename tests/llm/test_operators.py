@@ -65,6 +65,13 @@ def test_quality(awkward, empty):
     assert quality.quality_filter(awkward).columns == awkward.columns and quality.quality_filter(awkward).count() == kept
 
 
+def test_clean_text_with_a_repeated_header_stays(spark):
+    """One of three lines repeats; a page that mostly repeats still goes, and the ledger still has the rule's bit."""
+    docs = make(spark, [(1, f"the header\n{prose(1, 120)}\nthe header"), (2, "\n".join([prose(2, 12)] * 10))])
+    assert [r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()] == [1]
+    assert {r["doc_id"]: r["failed_bits"] & 8 for r in quality.query(docs).collect()} == {1: 8, 2: 8}
+
+
 @pytest.mark.parametrize("weak", [False, True])
 def test_exact(awkward, empty, weak):
     """With a constant hash all texts collide, and only their bytes tell them apart."""
