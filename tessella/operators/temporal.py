@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.operators.components import connected_components
 from tessella.operators.graph import both_ways
 from tessella.operators.project import pairs
+from tessella.session import cut
 
 
 def slices(start: int, end: int, mode: str = "disjoint", size: int = 5, shift: int = 1, partial: str = "clip") -> list[tuple[int, int]]:
@@ -84,6 +85,27 @@ def classify_slice(facts: DataFrame, year: int) -> DataFrame:
     return met.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def classify_slices(facts: DataFrame) -> DataFrame:
+    """(year, kind, n): classify_slice for every year that has a pair, the history's labels grown year by year.
+
+    A year's pairs are drawn between the components before it, so only that small graph is contracted.
+    """
+    e = cut(yearly_edges(facts))
+    first = cut(e.groupBy("src", "dst").agg(F.min("year").alias("first")))
+    labels = first.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    found = first.select(F.col("first").alias("year"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("n")).limit(0)
+    for year in sorted(r["year"] for r in e.select("year").distinct().collect()):
+        now = e.where(F.col("year") == year).join(first, ["src", "dst"])
+        met = cut(now.join(labels.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src", "left").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst", "left"))
+        kind = F.when(F.col("first") < year, "repeated").when(F.col("c1") == F.col("c2"), "intra_component").when(F.col("c1").isNotNull() & F.col("c2").isNotNull(), "merge").when(F.coalesce("c1", "c2").isNotNull(), "growth").otherwise("new_cluster")
+        found = found.unionByName(met.groupBy("year", kind.alias("kind")).agg(F.count("*").alias("n")))
+        drawn = met.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")).where("src <> dst")
+        merged = connected_components(drawn).select(F.col("id").alias("component"), F.col("component").alias("into"))
+        new = met.where("c1 is null").select(F.col("src").alias("id")).union(met.where("c2 is null").select("dst")).distinct()
+        labels = cut(labels.unionByName(new.withColumn("component", F.col("id"))).join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")))
+    return found
+
+
 def intervals(facts: DataFrame) -> DataFrame:
     """(author_id, first_year, last_year) of authors with a pair."""
     return both_ways(yearly_edges(facts).withColumn("weight", F.lit(1)).select("src", "dst", F.col("year").alias("weight"))).groupBy(F.col("id").alias("author_id")).agg(F.min("weight").alias("first_year"), F.max("weight").alias("last_year"))

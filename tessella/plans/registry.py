@@ -121,6 +121,7 @@ _YE = ", ye as (select distinct yr, src, dst from pr), yv as (select distinct yr
 query("active_jaccard", SMALL + _YE + ", a as (select yr, count(*) n from yv group by yr), b as (select yr, count(*) n from ye group by yr), ca as (select x.yr, count(*) c from yv x join yv y on y.yr = x.yr - 1 and x.id = y.id group by x.yr), cb as (select x.yr, count(*) c from ye x join ye y on y.yr = x.yr - 1 and x.src = y.src and x.dst = y.dst group by x.yr) select a.yr as year, a.n::bigint nodes, round(coalesce(ca.c, 0) / (a.n + pa.n - coalesce(ca.c, 0))::double, 6) node_jaccard, b.n::bigint edges, round(coalesce(cb.c, 0) / (b.n + pb.n - coalesce(cb.c, 0))::double, 6) edge_jaccard from a join b using (yr) left join a pa on pa.yr = a.yr - 1 left join b pb on pb.yr = a.yr - 1 left join ca on ca.yr = a.yr left join cb on cb.yr = a.yr")(lambda s, d: temporal.active_jaccard(coactive(s, d)))
 query("annual_avg_degree", SMALL + _YE + " select yr as year, round(2.0::double * m / n, 6) avg_degree from (select yr, count(*) m from ye group by yr) join (select yr, count(*) n from yv group by yr) using (yr)")(lambda s, d: temporal.annual_average_degree(coactive(s, d)))
 query("evolution_types", SMALL + _YE + ", old as (select distinct src, dst from ye where yr < 15), os as (select src id, dst other from old union all select dst, src from old), walk(id, c) as (select id, id from os union select os.other, w.c from walk w join os on os.id = w.id), lab as (select id, min(c) c from walk group by id) select case when o.src is not null then 'repeated' when a.c = b.c then 'intra_component' when a.c is not null and b.c is not null then 'merge' when a.c is not null or b.c is not null then 'growth' else 'new_cluster' end kind, count(*)::bigint n from ye left join old o on o.src = ye.src and o.dst = ye.dst left join lab a on a.id = ye.src left join lab b on b.id = ye.dst where yr = 15 group by kind")(lambda s, d: temporal.classify_slice(coactive(s, d), 15))
+query("evolution_types_by_slice", SMALL + _YE + ", ys as (select distinct yr from ye), old as (select distinct ys.yr, src, dst from ys join ye on ye.yr < ys.yr), os as (select yr, src id, dst other from old union all select yr, dst, src from old), walk(yr, id, c) as (select yr, id, id from os union select os.yr, os.other, w.c from walk w join os on os.yr = w.yr and os.id = w.id), lab as (select yr, id, min(c) c from walk group by all) select ye.yr as year, case when o.src is not null then 'repeated' when a.c = b.c then 'intra_component' when a.c is not null and b.c is not null then 'merge' when a.c is not null or b.c is not null then 'growth' else 'new_cluster' end kind, count(*)::bigint n from ye left join old o on o.yr = ye.yr and o.src = ye.src and o.dst = ye.dst left join lab a on a.yr = ye.yr and a.id = ye.src left join lab b on b.yr = ye.yr and b.id = ye.dst group by all")(lambda s, d: temporal.classify_slices(coactive(s, d)))
 query("dynamic_intervals", SMALL + " select id author_id, min(yr) first_year, max(yr) last_year from (select src id, yr from pr union all select dst, yr from pr) group by id")(lambda s, d: temporal.intervals(coactive(s, d)))
 query("daily_activity", "select date_trunc('day', ts) as start, event_type, count(*)::bigint n from events group by all")(lambda s, d: activity(table(s, d, "events")).drop("users"))
 

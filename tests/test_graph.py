@@ -81,6 +81,14 @@ def test_evolution(spark):
     assert [r["edges"] for r in temporal.cumulative_sizes(f).orderBy("year").collect()] == [2, 5, 6]
 
 
+def test_every_slice_is_classified(spark):
+    years = {1: ["ab", "cd"], 2: ["ab", "bc", "ae", "fg"], 3: ["ad"], 5: ["dg", "xy"], 6: ["ef", "ay", "dg"]}
+    f = facts(spark, *[(f"{y}{p}", a, y, 0) for y, ps in years.items() for p in ps for a in p])
+    want = {1: {"new_cluster": 2}, 2: {"repeated": 1, "merge": 1, "growth": 1, "new_cluster": 1}, 3: {"intra_component": 1}, 5: {"merge": 1, "new_cluster": 1}, 6: {"intra_component": 1, "merge": 1, "repeated": 1}}
+    assert rows(temporal.classify_slices(f), "year", "kind", "n") == {(y, k): n for y, kinds in want.items() for k, n in kinds.items()}
+    assert temporal.classify_slices(f.limit(0)).count() == 0
+
+
 def test_slices():
     assert len(temporal.slices(2006, 2025)) == 4 and len(temporal.slices(2006, 2025, "sliding")) == 16 and len(temporal.slices(2006, 2025, "cumulative")) == 16
     assert temporal.slices(2006, 2012, size=5) == [(2006, 2010), (2011, 2012)] and temporal.slices(2006, 2012, size=5, partial="drop") == [(2006, 2010)]
