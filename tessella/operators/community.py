@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import both_ways
+from tessella.operators.ranking import beside
 
 
 def labelled(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -56,8 +57,7 @@ def tf_idf(terms: DataFrame, k: int = 6) -> DataFrame:
     n = terms.groupBy("label", "term").agg(F.count("*").alias("n"))
     size = F.sum("n").over(Window.partitionBy("label"))
     df = F.count("*").over(Window.partitionBy("term"))
-    labels = terms.agg(F.countDistinct("label").alias("labels")).withColumn("one", F.lit(1))
-    scored = n.withColumn("tf", F.col("n") / size).withColumn("df", df).withColumn("one", F.lit(1)).join(labels, "one")
+    scored = beside(n.withColumn("tf", F.col("n") / size).withColumn("df", df), terms.agg(F.countDistinct("label").alias("labels")))
     scored = scored.withColumn("score", F.round(F.col("tf") * (F.log(F.col("labels") / (F.col("df") + 1)) + 1), 9))
     best = Window.partitionBy("label").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("label", "term", "n", "score", "rank")
@@ -71,6 +71,6 @@ def binned_adjacency(edges: DataFrame, nodes: DataFrame, bins: int) -> DataFrame
 
 
 def layers(ranked: DataFrame) -> DataFrame:
-    """Add the layer to (id, position, n): the first 35 % periphery, up to 85 % semi_core, then core."""
+    """Add the layer to (id, position, n), positions running from the most peripheral node to the core: the first 35 % periphery, up to 85 % semi_core, then core."""
     k1, k2 = F.floor(F.col("n") * 0.35), F.floor(F.col("n") * 0.85)
     return ranked.withColumn("layer", F.when(F.col("position") < k1, "periphery").when(F.col("position") < k2, "semi_core").otherwise("core"))

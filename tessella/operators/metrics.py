@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import both_ways, degrees
+from tessella.operators.ranking import beside
+from tessella.session import cut
 
 
 def summary(edges: DataFrame) -> DataFrame:
@@ -40,8 +42,7 @@ def structural_entropy(edges: DataFrame, delta: float = 0.0) -> DataFrame:
     d = degree_distribution(edges).withColumn("raw", (F.col("degree") + 1) * (1 - F.col("p") + delta))
     total = F.sum(F.col("raw") * F.col("n"))
     t = d.agg(F.when(total > 0, total).alias("t"), F.sum("n").alias("nodes"))
-    # A row per distinct degree meets the one-row total through a constant key.
-    e = d.withColumn("one", F.lit(1)).join(t.withColumn("one", F.lit(1)), "one").withColumn("i", F.col("raw") / F.col("t"))
+    e = beside(d, t).withColumn("i", F.col("raw") / F.col("t"))
     h = -F.sum(F.when(F.col("i") > 0, F.col("n") * F.col("i") * F.log("i")).otherwise(F.lit(0.0)))
     return e.agg(h.alias("entropy"), (h / F.log(F.first("nodes"))).alias("entropy_norm"))
 
@@ -111,12 +112,25 @@ def joint_degrees(edges: DataFrame) -> DataFrame:
 
 
 def constraint(edges: DataFrame) -> DataFrame:
-    """(id, constraint): Burt's constraint, the sum over neighbours of (p_ij + sum_q p_iq p_qj) squared."""
+    """(id, constraint): Burt's constraint, the sum over neighbours of (p_ij + sum_q p_iq p_qj) squared.
+
+    A two-path i, q, j only counts where i and j are tied as well, so the sums run over the
+    triangles, each of which gives one product to either direction of its three sides.
+    """
+    edges = cut(edges)
     s = degrees(edges).select("id", "strength")
-    p = both_ways(edges).join(s, "id").select("id", "other", (F.col("weight") / F.col("strength")).alias("p"))
-    two = p.join(p.select(F.col("id").alias("other"), F.col("other").alias("j"), F.col("p").alias("q")), "other").where("id <> j").groupBy("id", "j").agg(F.sum(F.col("p") * F.col("q")).alias("via"))
-    met = p.join(two.withColumnRenamed("j", "other"), ["id", "other"], "left")
-    return met.groupBy("id").agg(F.sum(F.pow(F.col("p") + F.coalesce("via", F.lit(0.0)), F.lit(2))).alias("constraint"))
+    ends = edges.join(s.withColumnsRenamed({"id": "src", "strength": "s1"}), "src").join(s.withColumnsRenamed({"id": "dst", "strength": "s2"}), "dst")
+    p = ends.select("src", "dst", (F.col("weight") / F.col("s1")).alias("out"), (F.col("weight") / F.col("s2")).alias("back"))
+    t = triangles(edges).select(F.array_sort(F.array("a", "b", "c")).alias("t"))
+    t = t.select(F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
+    for one, two in ("xy", "xz", "yz"):
+        side = p.select(F.col("src").alias(one), F.col("dst").alias(two), F.col("out").alias(one + two), F.col("back").alias(two + one))
+        t = t.join(side, [one, two])
+    through = [(i, j, q) for i in "xyz" for j in "xyz" for q in "xyz" if len({i, j, q}) == 3]
+    via = t.select(F.explode(F.array(*[F.struct(F.col(i).alias("id"), F.col(j).alias("other"), (F.col(i + q) * F.col(q + j)).alias("v")) for i, j, q in through])).alias("e"))
+    via = via.groupBy("e.id", "e.other").agg(F.sum("e.v").alias("via"))
+    both = p.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("other"), F.col("out").alias("p")), F.struct(F.col("dst").alias("id"), F.col("src").alias("other"), F.col("back").alias("p")))).alias("e")).select("e.*")
+    return both.join(via, ["id", "other"], "left").groupBy("id").agg(F.sum(F.pow(F.col("p") + F.coalesce("via", F.lit(0.0)), F.lit(2))).alias("constraint"))
 
 
 def effective_size(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.graph import both_ways, degrees
+from tessella.operators.ranking import beside
 from tessella.session import cut
 
 
@@ -32,18 +33,18 @@ def hops(edges: DataFrame, sources: DataFrame | None = None, limit: int | None =
 def closeness(edges: DataFrame, dist: DataFrame | None = None) -> DataFrame:
     """(id, closeness) scaled by the share of nodes reached."""
     d = hops(edges) if dist is None else dist
-    n = degrees(edges).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    sums = d.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("r"), F.sum("d").alias("s")).withColumn("one", F.lit(1))
+    n = degrees(edges).agg(F.count("*").alias("n"))
+    sums = d.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("r"), F.sum("d").alias("s"))
     r = F.col("r") - 1
-    return sums.join(n, "one").select("id", F.when(F.col("s") > 0, (r / F.col("s")) * (r / (F.col("n") - 1))).otherwise(0.0).alias("closeness"))
+    return beside(sums, n).select("id", F.when(F.col("s") > 0, (r / F.col("s")) * (r / (F.col("n") - 1))).otherwise(0.0).alias("closeness"))
 
 
 def path_summary(edges: DataFrame, dist: DataFrame | None = None) -> DataFrame:
     """(avg_path, diameter, efficiency): mean and largest hops over pairs reached; mean of 1/d over all ordered pairs."""
     d = (hops(edges) if dist is None else dist).where("d > 0")
-    n = degrees(edges).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
-    s = d.agg(F.avg("d").alias("avg_path"), F.max("d").cast("long").alias("diameter"), F.sum(1.0 / F.col("d")).alias("e")).withColumn("one", F.lit(1))
-    return s.join(n, "one").select("avg_path", "diameter", (F.col("e") / (F.col("n") * (F.col("n") - 1))).alias("efficiency"))
+    n = degrees(edges).agg(F.count("*").alias("n"))
+    s = d.agg(F.avg("d").alias("avg_path"), F.max("d").cast("long").alias("diameter"), F.sum(1.0 / F.col("d")).alias("e"))
+    return beside(s, n).select("avg_path", "diameter", (F.col("e") / (F.col("n") * (F.col("n") - 1))).alias("efficiency"))
 
 
 def ego(edges: DataFrame, seeds: DataFrame, radius: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.components import connected_components
@@ -11,27 +11,31 @@ from tessella.operators.project import pairs
 from tessella.session import cut
 
 
-def slices(start: int, end: int, mode: str = "disjoint", size: int = 5, shift: int = 1, partial: str = "clip") -> list[tuple[int, int]]:
-    """(first, last) years: disjoint (the last one clipped or dropped), sliding (whole ones only) or cumulative."""
+def slices(start: int, end: int, mode: str = "disjoint", size: int = 5, shift: int = 1, partial: str = "clip") -> list[tuple[int | None, int]]:
+    """(first, last) years: disjoint (the last one clipped or dropped), sliding (whole ones only), cumulative or full.
+
+    A cumulative slice has no first year (None): it holds all years up to its last, unknown ones (0) too.
+    """
     if mode == "disjoint":
         found = [(y, min(y + size - 1, end)) for y in range(start, end + 1, size)]
         return [s for s in found if partial == "clip" or s[1] - s[0] + 1 == size]
     if mode == "sliding":
         return [(y, y + size - 1) for y in range(start, end - size + 2, shift)]
     if mode == "cumulative":
-        return [(start, y) for y in range(start + size - 1, end + 1, shift)]
+        return [(None, y) for y in range(start + size - 1, end + 1, shift)]
+    if mode == "full":
+        return [(start, end)]
     raise ValueError(f"unknown mode {mode}")
 
 
-def slice_table(spark: SparkSession, found: list[tuple[int, int]]) -> DataFrame:
-    rows = ", ".join(f"({a}, {b})" for a, b in found)
-    return spark.sql(f"select * from values {rows} as t(first_year, last_year)")
+def sliced(facts: DataFrame, found: list[tuple[int | None, int]]) -> DataFrame:
+    """Facts once per slice (first_year, last_year) that holds their year.
 
-
-def sliced(facts: DataFrame, found: DataFrame) -> DataFrame:
-    """Facts once per slice that holds their year: years are exploded to slices and met by equality, not by range."""
-    years = found.select("first_year", "last_year", F.explode(F.sequence("first_year", "last_year")).alias("year"))
-    return facts.join(F.broadcast(years), "year")
+    The slices are a literal array that each row filters and explodes, so nothing is joined or shuffled.
+    """
+    all_slices = F.array(*[F.struct(F.lit(a).cast("int").alias("first_year"), F.lit(b).cast("int").alias("last_year")) for a, b in found])
+    holds = lambda s: (F.col("year") <= s["last_year"]) & (s["first_year"].isNull() | (F.col("year") >= s["first_year"]))
+    return facts.withColumn("__s", F.explode(F.filter(all_slices, holds))).select(*facts.columns, "__s.first_year", "__s.last_year")
 
 
 def cumulative_sizes(facts: DataFrame) -> DataFrame:
@@ -74,36 +78,26 @@ def annual_average_degree(facts: DataFrame) -> DataFrame:
     return e.groupBy("year").agg(F.count("*").alias("m")).join(n, "year").select("year", F.round(2 * F.col("m") / F.col("n"), 6).alias("avg_degree"))
 
 
-def classify_slice(facts: DataFrame, year: int) -> DataFrame:
-    """(kind, n) of one year's pairs against all before: repeated, intra_component, merge, growth, new_cluster."""
-    e = yearly_edges(facts)
-    old = e.where(F.col("year") < year).select("src", "dst").distinct()
-    labels = connected_components(old)
-    now = e.where(F.col("year") == year).select("src", "dst")
-    met = now.join(old.withColumn("seen", F.lit(True)), ["src", "dst"], "left").join(labels.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src", "left").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst", "left")
-    kind = F.when(F.col("seen"), "repeated").when(F.col("c1") == F.col("c2"), "intra_component").when(F.col("c1").isNotNull() & F.col("c2").isNotNull(), "merge").when(F.coalesce("c1", "c2").isNotNull(), "growth").otherwise("new_cluster")
-    return met.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 def classify_slices(facts: DataFrame) -> DataFrame:
-    """(year, kind, n): classify_slice for every year that has a pair, the history's labels grown year by year.
+    """(year, kind, n): every year's pairs against all before: repeated, intra_component, merge, growth, new_cluster.
 
-    A year's pairs are drawn between the components before it, so only that small graph is contracted.
+    The histories of all years are contracted together, as components over (year, id): a pair
+    belongs to the history of each later year. Years are slices, so their number is small.
     """
     e = cut(yearly_edges(facts))
     first = cut(e.groupBy("src", "dst").agg(F.min("year").alias("first")))
-    labels = first.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    found = first.select(F.col("first").alias("year"), F.lit("").alias("kind"), F.lit(0).cast("long").alias("n")).limit(0)
-    for year in sorted(r["year"] for r in e.select("year").distinct().collect()):
-        now = e.where(F.col("year") == year).join(first, ["src", "dst"])
-        met = cut(now.join(labels.select(F.col("id").alias("src"), F.col("component").alias("c1")), "src", "left").join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c2")), "dst", "left"))
-        kind = F.when(F.col("first") < year, "repeated").when(F.col("c1") == F.col("c2"), "intra_component").when(F.col("c1").isNotNull() & F.col("c2").isNotNull(), "merge").when(F.coalesce("c1", "c2").isNotNull(), "growth").otherwise("new_cluster")
-        found = found.unionByName(met.groupBy("year", kind.alias("kind")).agg(F.count("*").alias("n")))
-        drawn = met.select(F.coalesce("c1", "src").alias("src"), F.coalesce("c2", "dst").alias("dst")).where("src <> dst")
-        merged = connected_components(drawn).select(F.col("id").alias("component"), F.col("component").alias("into"))
-        new = met.where("c1 is null").select(F.col("src").alias("id")).union(met.where("c2 is null").select("dst")).distinct()
-        labels = cut(labels.unionByName(new.withColumn("component", F.col("id"))).join(merged, "component", "left").select("id", F.coalesce("into", "component").alias("component")))
-    return found
+    years = sorted(r["year"] for r in e.select("year").distinct().collect())
+    if not years:
+        return e.select("year", F.lit("").alias("kind"), F.lit(0).cast("long").alias("n"))
+    later = F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y > F.col("first"))
+    old = first.select("src", "dst", F.explode(later).alias("year"))
+    at = lambda end: F.struct("year", F.col(end).alias("id"))
+    labels = connected_components(old.select(at("src").alias("src"), at("dst").alias("dst"))).select("id.year", "id.id", F.col("component.id").alias("component"))
+    met = e.join(first, ["src", "dst"])
+    for end, name in (("src", "c1"), ("dst", "c2")):
+        met = met.join(labels.select("year", F.col("id").alias(end), F.col("component").alias(name)), ["year", end], "left")
+    kind = F.when(F.col("first") < F.col("year"), "repeated").when(F.col("c1") == F.col("c2"), "intra_component").when(F.col("c1").isNotNull() & F.col("c2").isNotNull(), "merge").when(F.coalesce("c1", "c2").isNotNull(), "growth").otherwise("new_cluster")
+    return met.groupBy("year", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def intervals(facts: DataFrame) -> DataFrame:

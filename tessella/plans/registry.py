@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessella.facts import authorships, coactive, table
 from tessella.functions import text as T
 from tessella.operators import authors, community, graph, kernels, metrics, paths, project, temporal
+from tessella.operators.ranking import beside, positions, ranks
+from tessella.session import cut
 from tessella.streaming.growth import activity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,11 +27,13 @@ _RAW = """raw as (select l_partkey::bigint author_id, l_orderkey::bigint paper_i
 FACTS = f"with {_RAW}, f as (select author_id, paper_id, max(yr) yr, max(cites) cites from raw group by all),{_PAIRS}"
 #: Users in the same minute.
 SMALL = f"with recursive f as (select distinct user_id::bigint author_id, date_trunc('minute', ts) paper_id, day(ts)::int yr from events),{_PAIRS}"
+#: Users in the same minute of the first day: many components, leaves and isolates.
+SPARSE = SMALL.replace("from events)", "from events where day(ts) = 1)", 1)
 _TRI = ", t as (select a.src a, a.dst b, b.dst c from e a join e b on a.dst = b.src join e x on x.src = a.src and x.dst = b.dst), tc as (select id, count(*) t from (select unnest([a, b, c]) id from t) group by id), lc as (select d.id, degree, strength, coalesce(t, 0)::bigint triangles, case when degree < 2 then 0.0::double else 2.0::double * coalesce(t, 0) / (degree * (degree - 1)) end clustering from d left join tc using (id))"
 _REACH = ", walk(source, id, h) as (select id, id, 0 from d union select w.source, s.other, w.h + 1 from walk w join s on s.id = w.id where w.h < 9), hop as (select source, id, min(h) h from walk group by all)"
 _COMP = ", walk(id, c) as (select id, id from d union select s.other, w.c from walk w join s on s.id = w.id), lab as (select id, min(c) component from walk group by id)"
 _PART = ", lab as (select id, id % 10 label from d), x as (select s.*, a.label, b.label label2 from s join lab a on a.id = s.id join lab b on b.id = s.other)"
-_ALPHA = ", n as (select src, dst, sum(1.0::double / (n - 1)) weight from pr group by all), ns as (select src id, weight from n union all select dst, weight from n), nd as (select id, count(*) k, sum(weight) s from ns group by id), al as (select n.*, case when a.k <= 1 then 1 else power(greatest(0, 1 - weight / a.s), a.k - 1) end au, case when b.k <= 1 then 1 else power(greatest(0, 1 - weight / b.s), b.k - 1) end av from n join nd a on a.id = src join nd b on b.id = dst)"
+_ALPHA = ", n as (select src, dst, sum(1.0::double / (n - 1)) weight from pr group by all), ns as (select src id, weight from n union all select dst, weight from n), nd as (select id, count(*) k, sum(weight) s from ns group by id), al as (select n.*, case when a.k <= 1 then 0 else power(greatest(0, 1 - weight / a.s), a.k - 1) end au, case when b.k <= 1 then 0 else power(greatest(0, 1 - weight / b.s), b.k - 1) end av from n join nd a on a.id = src join nd b on b.id = dst)"
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +57,14 @@ def small(spark: SparkSession, d: str) -> DataFrame:
     return project.full(coactive(spark, d))
 
 
+def sparse_facts(spark: SparkSession, d: str) -> DataFrame:
+    return coactive(spark, d).where("year = 1")
+
+
+def sparse(spark: SparkSession, d: str) -> DataFrame:
+    return project.full(sparse_facts(spark, d))
+
+
 def parts(edges: DataFrame) -> DataFrame:
     return graph.degrees(edges).select("id", (F.col("id") % 10).alias("label"))
 
@@ -71,21 +83,23 @@ query("edge_duration", FACTS + " select src, dst, count(*)::bigint weight, min(y
 query("nodes_min_papers", FACTS + " select author_id, count(*)::bigint papers from f group by all having count(*) >= 2")(lambda s, d: project.paper_counts(authorships(s, d)).where("papers >= 2"))
 query("backbone_disparity_or", FACTS + _ALPHA + " select src, dst, round(weight, 6) weight from al where au < 0.1 or av < 0.1")(lambda s, d: r6(graph.backbone(project.newman(authorships(s, d))), "weight"))
 query("backbone_disparity_and", FACTS + _ALPHA + " select src, dst, round(weight, 6) weight from al where au < 0.1 and av < 0.1")(lambda s, d: r6(graph.backbone(project.newman(authorships(s, d)), rule="and"), "weight"))
-query("isolates", FACTS + " select distinct author_id id from f where author_id not in (select id from d)")(lambda s, d: graph.isolates(authorships(s, d).select(F.col("author_id").alias("id")).distinct(), project.full(authorships(s, d))))
+for _rule in ("or", "and"):
+    query(f"backbone_with_leaves_{_rule}", SPARSE + _ALPHA + f" select src, dst, round(weight, 6) weight from al where au < 0.1 {_rule} av < 0.1")(lambda s, d, rule=_rule: r6(graph.backbone(project.newman(sparse_facts(s, d)), rule=rule), "weight"))
+query("isolates", SPARSE + " select distinct author_id id from f where author_id not in (select id from d)")(lambda s, d: graph.isolates(sparse_facts(s, d).select(F.col("author_id").alias("id")).distinct(), sparse(s, d)))
 query("induced_min_papers", FACTS + ", k as (select author_id from f group by all having count(*) >= 30) select e.* from e where src in (from k) and dst in (from k)")(lambda s, d: graph.induced(project.full(authorships(s, d)), project.paper_counts(authorships(s, d)).where("papers >= 30").select(F.col("author_id").alias("id"))))
-query("components", SMALL + _COMP + " select id, component from lab")(lambda s, d: graph.component_labels(graph.degrees(small(s, d)).select("id"), small(s, d)))
-query("lcc_nodes", SMALL + _COMP + ", z as (select component, count(*) n from lab group by all) select id from lab where component = (select component from z order by n desc, component limit 1)")(lambda s, d: graph.largest_component(graph.degrees(small(s, d)).select("id"), small(s, d)))
-query("component_size_dist", SMALL + _COMP + ", z as (select component, count(*)::bigint size from lab group by all) select size, count(*)::bigint n from z group by size")(lambda s, d: graph.component_labels(graph.degrees(small(s, d)).select("id"), small(s, d)).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n")))
+query("components", SPARSE + _COMP + " select id, component from lab")(lambda s, d: graph.component_labels(graph.degrees(sparse(s, d)).select("id"), sparse(s, d)))
+query("lcc_nodes", SPARSE + _COMP + ", z as (select component, count(*) n from lab group by all) select id from lab where component = (select component from z order by n desc, component limit 1)")(lambda s, d: graph.largest_component(graph.degrees(sparse(s, d)).select("id"), sparse(s, d)))
+query("component_size_dist", SPARSE + _COMP + ", z as (select component, count(*)::bigint size from lab group by all) select size, count(*)::bigint n from z group by size")(lambda s, d: graph.component_labels(graph.degrees(sparse(s, d)).select("id"), sparse(s, d)).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n")))
 
 
-@query("component_size_dist_no_lcc", SMALL + _COMP + ", z as (select component, count(*)::bigint size from lab group by all), y as (select size, count(*)::bigint n from z group by size) select size, (n - (size = (select max(size) from y))::int)::bigint n from y where n > (size = (select max(size) from y))::int")
+@query("component_size_dist_no_lcc", SPARSE + _COMP + ", z as (select component, count(*)::bigint size from lab group by all), y as (select size, count(*)::bigint n from z group by size) select size, (n - (size = (select max(size) from y))::int)::bigint n from y where n > (size = (select max(size) from y))::int")
 def _no_lcc(s: SparkSession, d: str) -> DataFrame:
     n = QUERIES["component_size_dist"](s, d)
     top = F.max("size").over(Window.partitionBy())
     return n.withColumn("n", F.col("n") - F.when(F.col("size") == top, 1).otherwise(0)).where("n > 0")
 
 
-query("coverage_stats", FACTS + ", p as (select distinct paper_id from pr) select (select count(*) from p)::bigint covered, round((select count(*) from f)::double / (select count(distinct author_id) from f), 6) papers_per_author")(lambda s, d: project.pairs(authorships(s, d)).agg(F.countDistinct("paper_id").alias("covered")).withColumn("k", F.lit(1)).join(authorships(s, d).agg(F.round(F.count("*") / F.countDistinct("author_id"), 6).alias("papers_per_author")).withColumn("k", F.lit(1)), "k").drop("k"))
+query("coverage_stats", FACTS + ", p as (select distinct paper_id from pr) select (select count(*) from p)::bigint covered, round((select count(*) from f)::double / (select count(distinct author_id) from f), 6) papers_per_author")(lambda s, d: project.pairs(authorships(s, d)).agg(F.countDistinct("paper_id").alias("covered")).transform(beside, authorships(s, d).agg(F.round(F.count("*") / F.countDistinct("author_id"), 6).alias("papers_per_author"))))
 query("paper_count_dist", FACTS + ", c as (select author_id, count(*)::bigint papers from f group by all) select papers, count(*)::bigint n, round(count(*) / sum(count(*)) over ()::double, 4) ratio from c group by papers")(lambda s, d: project.paper_counts(authorships(s, d)).groupBy("papers").agg(F.count("*").alias("n")).withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4)))
 
 # --- authors
@@ -96,7 +110,7 @@ query("role_counts", f"with {_RAW}, p as (select paper_id, min(pos) lo, max(pos)
 query("neighbor_influence", SMALL + ", m as (select id, count(distinct other)::bigint c, avg(o.strength) v from s join d o on o.id = s.other group by s.id) ".replace("select id,", "select s.id,") + "select d.id author_id, c collaborators, round(v, 6) mean_influence, d.strength > v above from m join d using (id)")(lambda s, d: authors.neighbour_influence(small(s, d), graph.degrees(small(s, d)).select("id", F.col("strength").alias("value"))))
 query("top_edges", SMALL + ", r as (select *, row_number() over (partition by id order by weight desc, other) k from s), z as (select id, coalesce(max(weight) filter (k = 1), 0) w1, coalesce(max(weight) filter (k = 2), 0) w2, coalesce(max(weight) filter (k = 3), 0) w3 from r group by id) select *, w1 sum1, w1 + w2 sum2, w1 + w2 + w3 sum3 from z")(lambda s, d: authors.top_edges(small(s, d)))
 query("discipline_entropy", "with n as (select l_orderkey % 100 g, p_type t, count(*) n from lineitem join part on l_partkey = p_partkey group by all), p as (select *, n / sum(n) over (partition by g)::double p from n) select g, count(*)::bigint labels, round(sum(-p * ln(p)), 6) entropy, case when count(*) > 1 then round(sum(-p * ln(p)) / ln(count(*)), 6) else 0.0::double end entropy_norm from p group by g")(lambda s, d: authors.shannon(table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") % 100).alias("g"), F.col("p_type").alias("t")), "g", "t"))
-query("discipline_avg", "with k as (select l_orderkey, count(distinct p_type)::bigint k from lineitem join part on l_partkey = p_partkey group by all) select k disciplines, count(*)::bigint papers from k group by k")(lambda s, d: table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.countDistinct("p_type").alias("disciplines")).groupBy("disciplines").agg(F.count("*").alias("papers")))
+query("discipline_count_dist", "with k as (select l_orderkey, count(distinct p_type)::bigint k from lineitem join part on l_partkey = p_partkey group by all) select k disciplines, count(*)::bigint papers from k group by k")(lambda s, d: table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.countDistinct("p_type").alias("disciplines")).groupBy("disciplines").agg(F.count("*").alias("papers")))
 
 
 @query("role_tagging", FACTS + ", c as (select author_id, count(*) p from f group by all) select author_id, case when p >= 40 then 'core' when p >= 25 then 'active' else 'marginal' end as role from c")
@@ -109,19 +123,18 @@ def _tags(s: SparkSession, d: str) -> DataFrame:
 
 # --- time
 def _slices(name: str, mode: str, found: str) -> None:
-    sql = f"with {_RAW}, f as (select author_id, paper_id, max(yr) yr from raw group by all), sl as ({found}) select a first_year, b last_year, count(*)::bigint rows_in, count(distinct author_id)::bigint authors from f join sl on yr between a and b group by all"
-    query(name, sql)(lambda s, d: temporal.sliced(authorships(s, d), temporal.slice_table(s, temporal.slices(1995, 2001, mode, 3))).groupBy("first_year", "last_year").agg(F.count("*").alias("rows_in"), F.countDistinct("author_id").alias("authors")))
+    sql = f"with {_RAW}, f as (select author_id, paper_id, max(yr) yr from raw group by all), sl as ({found}) select a first_year, b last_year, count(*)::bigint rows_in, count(distinct author_id)::bigint authors from f join sl on yr <= b and (a is null or yr >= a) group by all"
+    query(name, sql)(lambda s, d: temporal.sliced(authorships(s, d), temporal.slices(1995, 2001, mode, 3)).groupBy("first_year", "last_year").agg(F.count("*").alias("rows_in"), F.countDistinct("author_id").alias("authors")))
 
 
 _slices("slices_disjoint", "disjoint", "select unnest([1995, 1998, 2001]) a, unnest([1997, 2000, 2001]) b")
 _slices("slices_sliding", "sliding", "select unnest(range(1995, 2000))::int a, unnest(range(1997, 2002))::int b")
-_slices("slices_cumulative", "cumulative", "select 1995 a, unnest(range(1997, 2002))::int b")
+_slices("slices_cumulative", "cumulative", "select null::int a, unnest(range(1997, 2002))::int b")
 query("cumulative_sizes", SMALL + ", fe as (select src, dst, min(yr) yr from pr group by all), fv as (select id, min(yr) yr from (select src id, yr from fe union all select dst, yr from fe) group by id), n as (select yr, count(*) ne from fe group by yr), v as (select yr, count(*) nv from fv group by yr) select yr as year, coalesce(nv, 0)::bigint new_nodes, ne::bigint new_edges, (sum(coalesce(nv, 0)) over (order by yr))::bigint nodes, (sum(ne) over (order by yr))::bigint edges from n left join v using (yr)")(lambda s, d: temporal.cumulative_sizes(coactive(s, d)))
 _YE = ", ye as (select distinct yr, src, dst from pr), yv as (select distinct yr, unnest([src, dst]) id from ye)"
 query("active_jaccard", SMALL + _YE + ", a as (select yr, count(*) n from yv group by yr), b as (select yr, count(*) n from ye group by yr), ca as (select x.yr, count(*) c from yv x join yv y on y.yr = x.yr - 1 and x.id = y.id group by x.yr), cb as (select x.yr, count(*) c from ye x join ye y on y.yr = x.yr - 1 and x.src = y.src and x.dst = y.dst group by x.yr) select a.yr as year, a.n::bigint nodes, round(coalesce(ca.c, 0) / (a.n + pa.n - coalesce(ca.c, 0))::double, 6) node_jaccard, b.n::bigint edges, round(coalesce(cb.c, 0) / (b.n + pb.n - coalesce(cb.c, 0))::double, 6) edge_jaccard from a join b using (yr) left join a pa on pa.yr = a.yr - 1 left join b pb on pb.yr = a.yr - 1 left join ca on ca.yr = a.yr left join cb on cb.yr = a.yr")(lambda s, d: temporal.active_jaccard(coactive(s, d)))
 query("annual_avg_degree", SMALL + _YE + " select yr as year, round(2.0::double * m / n, 6) avg_degree from (select yr, count(*) m from ye group by yr) join (select yr, count(*) n from yv group by yr) using (yr)")(lambda s, d: temporal.annual_average_degree(coactive(s, d)))
-query("evolution_types", SMALL + _YE + ", old as (select distinct src, dst from ye where yr < 15), os as (select src id, dst other from old union all select dst, src from old), walk(id, c) as (select id, id from os union select os.other, w.c from walk w join os on os.id = w.id), lab as (select id, min(c) c from walk group by id) select case when o.src is not null then 'repeated' when a.c = b.c then 'intra_component' when a.c is not null and b.c is not null then 'merge' when a.c is not null or b.c is not null then 'growth' else 'new_cluster' end kind, count(*)::bigint n from ye left join old o on o.src = ye.src and o.dst = ye.dst left join lab a on a.id = ye.src left join lab b on b.id = ye.dst where yr = 15 group by kind")(lambda s, d: temporal.classify_slice(coactive(s, d), 15))
-query("evolution_types_by_slice", SMALL + _YE + ", ys as (select distinct yr from ye), old as (select distinct ys.yr, src, dst from ys join ye on ye.yr < ys.yr), os as (select yr, src id, dst other from old union all select yr, dst, src from old), walk(yr, id, c) as (select yr, id, id from os union select os.yr, os.other, w.c from walk w join os on os.yr = w.yr and os.id = w.id), lab as (select yr, id, min(c) c from walk group by all) select ye.yr as year, case when o.src is not null then 'repeated' when a.c = b.c then 'intra_component' when a.c is not null and b.c is not null then 'merge' when a.c is not null or b.c is not null then 'growth' else 'new_cluster' end kind, count(*)::bigint n from ye left join old o on o.yr = ye.yr and o.src = ye.src and o.dst = ye.dst left join lab a on a.yr = ye.yr and a.id = ye.src left join lab b on b.yr = ye.yr and b.id = ye.dst group by all")(lambda s, d: temporal.classify_slices(coactive(s, d)))
+query("evolution_types", SMALL + _YE + ", ys as (select distinct yr from ye), old as (select distinct ys.yr, src, dst from ys join ye on ye.yr < ys.yr), os as (select yr, src id, dst other from old union all select yr, dst, src from old), walk(yr, id, c) as (select yr, id, id from os union select os.yr, os.other, w.c from walk w join os on os.yr = w.yr and os.id = w.id), lab as (select yr, id, min(c) c from walk group by all) select ye.yr as year, case when o.src is not null then 'repeated' when a.c = b.c then 'intra_component' when a.c is not null and b.c is not null then 'merge' when a.c is not null or b.c is not null then 'growth' else 'new_cluster' end kind, count(*)::bigint n from ye left join old o on o.yr = ye.yr and o.src = ye.src and o.dst = ye.dst left join lab a on a.yr = ye.yr and a.id = ye.src left join lab b on b.yr = ye.yr and b.id = ye.dst group by all")(lambda s, d: temporal.classify_slices(coactive(s, d)))
 query("dynamic_intervals", SMALL + " select id author_id, min(yr) first_year, max(yr) last_year from (select src id, yr from pr union all select dst, yr from pr) group by id")(lambda s, d: temporal.intervals(coactive(s, d)))
 query("daily_activity", "select date_trunc('day', ts) as start, event_type, count(*)::bigint n from events group by all")(lambda s, d: activity(table(s, d, "events")).drop("users"))
 
@@ -149,7 +162,7 @@ simple("hop_distances", lambda e: paths.hops(e).withColumn("d", F.col("d").cast(
 simple("closeness", paths.closeness, SMALL + _REACH + ", c as (select source id, count(*) - 1 r, sum(h) t from hop group by source) select id, case when t > 0 then round((r / t::double) * (r / ((select count(*) from d) - 1)::double), 6) else 0.0::double end closeness from c", "closeness")
 simple("path_summary", paths.path_summary, SMALL + _REACH + " select round(avg(h), 6) avg_path, max(h)::bigint diameter, round(sum(1.0::double / h) / ((select count(*) from d) * ((select count(*) from d) - 1)), 6) efficiency from hop where h > 0", "avg_path", "efficiency")
 for _r in (1, 2):
-    simple(f"ego_{_r}", lambda e, r=_r: paths.ego(e, graph.degrees(e).where("id % 25 = 0"), r), SMALL + f", walk(source, id, h) as (select id, id, 0 from d where id % 25 = 0 union select w.source, s.other, w.h + 1 from walk w join s on s.id = w.id where w.h < {_r}), m as (select distinct source, id from walk) select m.source seed, src, dst, weight from e join m on m.id = src join m k on k.source = m.source and k.id = dst")
+    simple(f"ego_{_r}", lambda e, r=_r: paths.ego(e, graph.degrees(e).orderBy(F.desc("degree"), "id").limit(6), r), SMALL + f", seed as (select id from d order by degree desc, id limit 6), walk(source, id, h) as (select id, id, 0 from seed union select w.source, s.other, w.h + 1 from walk w join s on s.id = w.id where w.h < {_r}), m as (select distinct source, id from walk) select m.source seed, src, dst, weight from e join m on m.id = src join m k on k.source = m.source and k.id = dst")
 simple("katz_fixed_iter", lambda e: paths.katz(e, 0.01, 3), SMALL + ", k1 as (select id, 1 + 0.01::double * count(*) x from s group by id), k2 as (select s.id, 1 + 0.01::double * sum(x) x from s join k1 on k1.id = s.other group by s.id) select s.id, round(1 + 0.01::double * sum(x), 6) katz from s join k2 on k2.id = s.other group by s.id", "katz")
 simple("kcore2", graph.k_core, SMALL + ", one as (select id from d where degree < 2), e2 as (select * from e where src not in (from one) and dst not in (from one)), d2 as (select id, count(*) k from (select src id from e2 union all select dst from e2) group by id), two as (select id from d2 where k < 2), e3 as (select * from e2 where src not in (from two) and dst not in (from two)), d3 as (select id, count(*) k from (select src id from e3 union all select dst from e3) group by id), three as (select id from d3 where k < 2) select * from e3 where src not in (from three) and dst not in (from three)")
 query("leaderrank")(lambda s, d: r6(paths.leader_rank(small(s, d), 10), "score"))
@@ -164,14 +177,13 @@ simple("modularity", lambda e: community.modularity(e, parts(e)), SMALL + _PART
 
 
 def _positions(edges: DataFrame) -> DataFrame:
-    ranked = graph.degrees(edges).withColumn("one", F.lit(1))
-    order = Window.partitionBy("one").orderBy(F.desc("degree"), "id")
-    return ranked.select("id", (F.row_number().over(order) - 1).alias("position"), F.count("*").over(Window.partitionBy("one")).alias("n"))
+    """From the most peripheral node to the core."""
+    return positions(graph.degrees(edges).select("id", "degree"), "degree", "id")
 
 
-_POS = ", ps as (select id, row_number() over (order by degree desc, id) - 1 p, count(*) over () n from d)"
+_POS = ", ps as (select id, row_number() over (order by degree, id) - 1 p, count(*) over () n from d)"
 simple("binned_adjacency", lambda e: community.binned_adjacency(e, _positions(e), 8), SMALL + _POS + ", b as (select id, floor(p * 8 / n::double)::bigint b from ps) select least(x.b, y.b) bin1, greatest(x.b, y.b) bin2, sum(weight)::bigint weight from e join b x on x.id = src join b y on y.id = dst group by 1, 2")
-simple("layers", lambda e: community.layers(_positions(e)).groupBy("layer").agg(F.count("*").alias("n")), SMALL + _POS + " select case when p < floor(n * 0.35::double) then 'periphery' when p < floor(n * 0.85::double) then 'semi_core' else 'core' end layer, count(*)::bigint n from ps group by 1")
+simple("layers", lambda e: community.layers(_positions(e)).select("id", "layer"), SMALL + _POS + " select id, case when p < floor(n * 0.35::double) then 'periphery' when p < floor(n * 0.85::double) then 'semi_core' else 'core' end layer from ps")
 query("community_tfidf", "with w as (select p_brand label, unnest(string_split(p_name, ' ')) term from part), n as (select label, term, count(*)::bigint n from w group by all), c as (select *, n / sum(n) over (partition by label)::double tf, count(*) over (partition by term) df, (select count(distinct label) from w) nl from n), z as (select label, term, n, round(tf * (ln(nl / (df + 1)::double) + 1), 9) score from c) select *, row_number() over (partition by label order by score desc, term)::int rank from z qualify rank <= 6")(lambda s, d: community.tf_idf(table(s, d, "part").select(F.col("p_brand").alias("label"), F.explode(F.split("p_name", " ")).alias("term"))))
 
 
@@ -184,14 +196,23 @@ def _correlations(s: SparkSession, d: str) -> DataFrame:
 query("attr_correlation", FACTS + ", r as (select *, row_number() over w i, sum(cites) over w c from f window w as (partition by author_id order by cites desc, paper_id)), m as (select author_id, count(*) papers, max(yr) - min(yr) span, sum(cites) total_cites, coalesce(max(case when cites >= i then i end), 0) h_index, coalesce(max(case when c >= i * i then i end), 0) g_index from r group by author_id) select round(corr(papers, total_cites), 6) papers_total_cites, round(corr(papers, h_index), 6) papers_h_index, round(corr(span, g_index), 6) span_g_index from m")(_correlations)
 
 
-def _mean_rank(c: str) -> Column:
-    """Average rank of ties."""
-    w = Window.partitionBy("one").orderBy(c)
-    return (F.rank().over(w) + (F.count("*").over(Window.partitionBy("one", c)) - 1) / 2).alias(f"r_{c}")
+def _spearman(e: DataFrame) -> DataFrame:
+    d = cut(graph.degrees(e))
+    x = ranks(d.select("id", "degree"), "degree", "id", "average").select("id", F.col("rank").alias("a"))
+    y = ranks(d.select("id", "strength"), "strength", "id", "average").select("id", F.col("rank").alias("b"))
+    return x.join(y, "id").agg(F.corr("a", "b").alias("rho"))
+
+
+simple("spearman", _spearman, SMALL + ", r as (select rank() over (order by degree) + (count(*) over (partition by degree) - 1) / 2.0::double a, rank() over (order by strength) + (count(*) over (partition by strength) - 1) / 2.0::double b from d) select round(corr(a, b), 6) rho from r", "rho")
+
+
+def _zscore(e: DataFrame) -> DataFrame:
+    x = graph.degrees(e).select("id", F.log1p("strength").alias("x"))
+    both = beside(x, x.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd")))
+    return both.select("id", F.when(F.col("sd") > 0, (F.col("x") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("z"))
 
 
-simple("spearman", lambda e: graph.degrees(e).withColumn("one", F.lit(1)).select(_mean_rank("degree"), _mean_rank("strength")).agg(F.corr("r_degree", "r_strength").alias("rho")), SMALL + ", r as (select rank() over (order by degree) + (count(*) over (partition by degree) - 1) / 2.0::double a, rank() over (order by strength) + (count(*) over (partition by strength) - 1) / 2.0::double b from d) select round(corr(a, b), 6) rho from r", "rho")
-simple("zscore_log1p", lambda e: graph.degrees(e).select("id", F.log1p("strength").alias("x"), F.lit(1).alias("one")).select("id", F.when(F.stddev_samp("x").over(Window.partitionBy("one")) > 0, (F.col("x") - F.avg("x").over(Window.partitionBy("one"))) / F.stddev_samp("x").over(Window.partitionBy("one"))).otherwise(0.0).alias("z")), SMALL + ", x as (select id, ln(1 + strength) x from d) select id, round((x - avg(x) over ()) / stddev_samp(x) over (), 6) z from x", "z")
+simple("zscore_log1p", _zscore, SMALL + ", x as (select id, ln(1 + strength) x from d) select id, round((x - avg(x) over ()) / stddev_samp(x) over (), 6) z from x", "z")
 simple("attribute_summary", lambda e: graph.degrees(e).agg(F.avg("strength").alias("mean"), F.stddev_samp("strength").alias("sd"), F.min("strength").alias("min"), F.percentile("strength", 0.25).alias("q25"), F.median("strength").alias("median"), F.percentile("strength", 0.75).alias("q75"), F.max("strength").alias("max")), SMALL + " select round(avg(strength), 6) mean, round(stddev_samp(strength), 6) sd, min(strength) min, quantile_cont(strength, 0.25) q25, median(strength) median, quantile_cont(strength, 0.75) q75, max(strength) max from d", "mean", "sd")
 simple("mixing_highlow", lambda e: e.join(graph.degrees(e).select(F.col("id").alias("src"), (F.col("degree") >= 15).cast("int").alias("h1")), "src").join(graph.degrees(e).select(F.col("id").alias("dst"), (F.col("degree") >= 15).cast("int").alias("h2")), "dst").groupBy((F.col("h1") + F.col("h2")).alias("high_ends")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")), SMALL + " select ((a.degree >= 15)::int + (b.degree >= 15)::int)::int high_ends, count(*)::bigint edges, sum(weight)::bigint weight from e join d a on a.id = src join d b on b.id = dst group by 1")
 simple("discretised_weights", lambda e: e.select("src", "dst", F.ceil(F.col("weight") / 2).cast("long").alias("level")), SMALL + " select src, dst, ceil(weight / 2.0::double)::bigint level from e")
@@ -201,7 +222,7 @@ query("name_blocks", "with n as (select distinct p_name from part) select list_a
 
 # --- sequential kernels: checked by invariants in the tests
 query("betweenness")(lambda s, d: r6(kernels.betweenness(small(s, d)), "betweenness"))
-query("attack_curve_degree")(lambda s, d: kernels.attack_curve(small(s, d), _positions(small(s, d)).withColumnRenamed("position", "rank")))
+query("attack_curve_degree")(lambda s, d: kernels.attack_curve(small(s, d), positions(graph.degrees(small(s, d)), F.desc("degree"), F.asc("id")).withColumnRenamed("position", "rank")))
 query("box_counts")(lambda s, d: kernels.box_counts(small(s, d)))
 query("core_hd")(lambda s, d: kernels.core_hd(small(s, d)))
 query("spanning_tree")(lambda s, d: kernels.spanning_tree(small(s, d)))
@@ -210,10 +231,10 @@ query("spanning_tree")(lambda s, d: kernels.spanning_tree(small(s, d)))
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts, fractional projection, authors of two papers at least, backbone, the strongest nodes."""
     facts = authorships(spark, sf_dir)
-    edges = project.newman(facts)
+    edges = cut(project.newman(facts))
     counts = project.paper_counts(facts).withColumnRenamed("author_id", "id")
     _, kept = graph.run_steps(counts.select("id"), edges, counts, ["S5", "S3"])
     return r6(graph.degrees(kept), "strength").orderBy(F.desc("strength"), "id")
 
 
-query("flagship", FACTS.replace("with ", "with ", 1) + ", c as (select author_id id from f group by all having count(*) >= 2), n as (select src, dst, sum(1.0::double / (n - 1)) weight from pr where src in (from c) and dst in (from c) group by all), ns as (select src id, weight from n union all select dst, weight from n), nd as (select id, count(*) k, sum(weight) s from ns group by id), al as (select n.*, case when a.k <= 1 then 1 else power(greatest(0, 1 - weight / a.s), a.k - 1) end au, case when b.k <= 1 then 1 else power(greatest(0, 1 - weight / b.s), b.k - 1) end av from n join nd a on a.id = src join nd b on b.id = dst), k as (select * from al where au < 0.1 or av < 0.1), ks as (select src id, weight from k union all select dst, weight from k) select id, count(*)::bigint degree, round(sum(weight), 6) strength from ks group by id")(flagship)
+query("flagship", FACTS.replace("with ", "with ", 1) + ", c as (select author_id id from f group by all having count(*) >= 2), n as (select src, dst, sum(1.0::double / (n - 1)) weight from pr where src in (from c) and dst in (from c) group by all), ns as (select src id, weight from n union all select dst, weight from n), nd as (select id, count(*) k, sum(weight) s from ns group by id), al as (select n.*, case when a.k <= 1 then 0 else power(greatest(0, 1 - weight / a.s), a.k - 1) end au, case when b.k <= 1 then 0 else power(greatest(0, 1 - weight / b.s), b.k - 1) end av from n join nd a on a.id = src join nd b on b.id = dst), k as (select * from al where au < 0.1 or av < 0.1), ks as (select src id, weight from k union all select dst, weight from k) select id, count(*)::bigint degree, round(sum(weight), 6) strength from ks group by id")(flagship)

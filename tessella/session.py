@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -25,11 +23,16 @@ def build_session(app: str = "tessella", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; make a local one only where it is unset."""
+    """Use the shared folder named by spark.checkpoint.dir; where it is unset, one beside the warehouse.
+
+    The warehouse is shared between the driver and the executors, a machine's own temporary
+    folder is not.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:

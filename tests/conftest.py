@@ -8,8 +8,8 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+def spark(tmp_path_factory):
+    session = SparkSession.builder.config(map={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}).master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import authors, community, graph, kernels, metrics, paths, project, temporal
 from tessella.operators.components import connected_components
+from tessella.operators.ranking import positions, ranks
 
 
 def edges(spark, *pairs):
@@ -36,7 +37,10 @@ def test_repeated_rows_count_as_places(spark):
 
 def test_star(spark):
     e = edges(spark, (0, 1), (0, 2), (0, 3), (0, 4))
-    assert graph.backbone(e, 0.1).count() == 0 and graph.backbone(e, 0.5).count() == 4 and graph.backbone(e, 0.5, "and").count() == 0
+    # A leaf's alpha is 0, the centre's 0.75 ** 3 = 0.42.
+    assert graph.backbone(e, 0.1).count() == 4 and graph.backbone(e, 0.1, "and").count() == 0 and graph.backbone(e, 0.5, "and").count() == 4
+    assert graph.backbone(edges(spark, (7, 8)), 0.1, "and").count() == 1
+    assert {r["id"]: r["layer"] for r in community.layers(positions(graph.degrees(e), "degree", "id")).collect()}[0] == "core"
     assert metrics.centralisation(e).first()[0] == 1
     assert metrics.transitivity(e).first()[0] == 0
     assert metrics.assortativity(e).first()[0] == pytest.approx(-1)
@@ -74,10 +78,6 @@ def test_h_and_g(spark):
 def test_evolution(spark):
     years = {1: ["ab", "cd"], 2: ["ab", "bc", "ae", "fg"], 3: ["ad"]}
     f = facts(spark, *[(f"{y}{p}", a, y, 0) for y, ps in years.items() for p in ps for a in p])
-    kinds = lambda y: rows(temporal.classify_slice(f, y), "kind", "n")
-    assert kinds(1) == {("new_cluster",): 2}
-    assert kinds(2) == {("repeated",): 1, ("merge",): 1, ("growth",): 1, ("new_cluster",): 1}
-    assert kinds(3) == {("intra_component",): 1}
     assert [r["edges"] for r in temporal.cumulative_sizes(f).orderBy("year").collect()] == [2, 5, 6]
 
 
@@ -91,6 +91,7 @@ def test_every_slice_is_classified(spark):
 
 def test_slices():
     assert len(temporal.slices(2006, 2025)) == 4 and len(temporal.slices(2006, 2025, "sliding")) == 16 and len(temporal.slices(2006, 2025, "cumulative")) == 16
+    assert temporal.slices(2006, 2008, "cumulative", 2) == [(None, 2007), (None, 2008)] and temporal.slices(1, 3, "full") == [(1, 3)]
     assert temporal.slices(2006, 2012, size=5) == [(2006, 2010), (2011, 2012)] and temporal.slices(2006, 2012, size=5, partial="drop") == [(2006, 2010)]
 
 
@@ -107,6 +108,27 @@ def test_components_edge_cases(spark):
     assert connected_components(chain).select("component").distinct().collect()[0][0] == 0
 
 
+def test_positions_and_ranks(spark):
+    values = [5, 3, 3, 9, 3, 1, 9]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v long").repartition(5)
+    got = {r["id"]: r["position"] for r in positions(df, "v", "id").collect()}
+    assert got == {i: k for k, (_, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))}
+    assert {r["id"]: r["rank"] for r in ranks(df, "v", "id").collect()} == {i: sorted(values).index(v) + 1 for i, v in enumerate(values)}
+    assert {r["id"]: r["rank"] for r in ranks(df, "v", "id", "average").collect()} == {0: 5, 1: 3, 2: 3, 3: 6.5, 4: 3, 5: 1, 6: 6.5}
+    assert positions(df.limit(0), "v", "id").count() == 0
+
+
+def test_constraint(spark):
+    """A triangle with a pendant, weights 2, 1, 1, 3, against the formula over all two-paths."""
+    w = {(1, 2): 2, (1, 3): 1, (2, 3): 1, (1, 4): 3}
+    e = spark.createDataFrame([(a, b, x) for (a, b), x in w.items()], "src long, dst long, weight long")
+    both = w | {(b, a): x for (a, b), x in w.items()}
+    s = {i: sum(x for (a, _), x in both.items() if a == i) for i in range(1, 5)}
+    p = lambda i, j: both.get((i, j), 0) / s[i]
+    want = {(i,): sum((p(i, j) + sum(p(i, q) * p(q, j) for q in s if q not in (i, j))) ** 2 for j in s if (i, j) in both) for i in s}
+    assert rows(metrics.constraint(e), "id", "constraint") == pytest.approx(want)
+
+
 def test_attack_and_boxes(spark):
     e = edges(spark, (0, 1), (0, 2), (0, 3), (0, 4))
     order = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)], "id long, rank long")
