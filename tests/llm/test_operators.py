@@ -151,42 +151,77 @@ def test_prefix_depth():
         nearjoin.prefix_depth(1, 6, 0.8, 0.9999)
 
 
-def test_packing(awkward, empty):
+def test_packing(spark, awkward, empty):
+    """Ids as the tokenizer gives them as loaded, its own tokens spelled out included; every sequence gapless."""
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    want = Counter((i, np.asarray(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, x in AWKWARD)
-    for buffer in (1000, 10**6):
-        rows = packing.pack(awkward.coalesce(1), path, buffer=buffer).collect()
-        docs = defaultdict(list)
+    more = [(20, "hello <|endoftext|> world"), (21, "<|startoftext|>A<|endoftext|>b <|ENDOFTEXT|>"), (22, "Don't STOP, it's 3.14 Éé ß, ok-ok... y" + "z" * 90 + " y" + "z" * 90)]
+    docs = awkward.unionByName(make(spark, more)).coalesce(2)
+    want = Counter((i, np.asarray(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes()) for i, x in AWKWARD + more)
+    assert t.encode(more[0][1], add_special_tokens=False).ids in [list(np.frombuffer(b, "<u4")[:-1]) for (i, b) in want if i == 20]
+    for group in (1000, 10**6):
+        rows = packing.pack(docs, path, group=group).collect()
+        found = defaultdict(list)
         for r in rows:
-            docs[(r["doc_id"], r["doc_tokens"])].append((r["start"], r["ids"]))
+            found[(r["doc_id"], r["doc_tokens"])].append((r["start"], r["ids"]))
         whole = defaultdict(bytes)
         copies = Counter((i, len(b) // 4) for (i, b), n in want.items() for _ in range(n))
-        for key, pieces in docs.items():
-            for start, ids in sorted(pieces):
+        for key, parts in found.items():
+            for start, ids in sorted(parts):
                 whole[key] += ids
         assert {k: len(v) // 4 for k, v in whole.items()} == {k: k[1] * n for k, n in copies.items()}
         assert all(whole[(i, len(b) // 4)] == b for (i, b), n in want.items() if copies[(i, len(b) // 4)] == 1)
-        windows = defaultdict(list)
-        for r in rows:
-            windows[r["sequence_id"]].append((r["offset"], r["length"]))
-        for parts in windows.values():
-            at = 0
-            for offset, length in sorted(parts):
-                assert offset == at
-                at += length
-            assert at <= 2048
+        check_sequences(rows)
     assert packing.pack(empty, path).count() == 0
+    assert {(r["doc_id"], r["ids_crc32"]) for r in packing.query(docs).collect()} == {(r["doc_id"], zlib.crc32(r["ids"])) for r in rows}
+
+
+def check_sequences(rows):
+    windows = defaultdict(list)
+    for r in rows:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_packing_many_small_files(spark, tmp_path):
+    """A thousand files of three documents need as many sequences as one file, within a hundredth of the least number."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    make(spark, [(k, prose(k, 20 + k % 90)) for k in range(3000)], extra=False).repartition(1000).write.parquet(str(tmp_path / "many"))
+    docs = spark.read.parquet(str(tmp_path / "many"))
+    seen = []
+    for found in (docs.repartition(1000), docs.coalesce(1)):
+        rows = packing.pack(found, path)
+        check_sequences(rows.collect())
+        seen.append(packing.padding(rows).first())
+    assert seen[0]["sequences"] == seen[1]["sequences"] <= 1.01 * seen[0]["tokens"] / 2048
+
+
+def test_words_in_any_company():
+    """Words learnt together, alone, and again after the memory was emptied, against the tokenizer."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, words, r = Tokenizer.from_file(path), packing.Words(path), random.Random(2)
+    alphabet = ["a", "B", "é", "É", "ß", "'s", "'LL", "12", "!", "...", "-", " ", "\n", " ", "\u0085", "日本", "\u0301", "ﬁ", "İ", "Σ", "<|endoftext|>", "<|END", "x" * 70, "\U0001f600", "Ⅷ", "\u200b"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(300)]
+    want = [np.asarray(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert words.encode(texts) == want and [words.encode([x])[0] for x in texts[:100]] == want[:100]
+    words.clear(), words.parts.clear()
+    assert words.encode(texts[::-1]) == want[::-1]
 
 
 def test_best_fit():
     """The segment tree against a search of all open windows."""
     r = random.Random(3)
     lengths = np.asarray([r.randint(1, 64) for _ in range(400)])
-    where, offset = packing.Packer(64, 0).place(lengths)
+    where, offset = packing.best_fit(lengths, 64)
     open_, fill = {}, 0
     for k in np.argsort(-lengths, kind="stable"):
         fits = [room for room in open_.values() if room >= lengths[k]]
