@@ -7,40 +7,65 @@ from pyspark.sql import functions as F
 
 from tessella.session import cut
 
+#: Up to so many shared hashes of 16 bytes are broadcast to fetch the texts to compare; beyond, they are joined.
+BROADCAST_HASHES = 500_000
+#: A group over this many rows, or over this share of all rows, is looked up by broadcast: at most 1 / share such groups exist.
+LARGE, LARGE_SHARE = 1_000, 1e-5
 
-def exact_duplicates(docs: DataFrame, content_hash: Column | None = None, keep: str = "min") -> DataFrame:
+
+def _best(keep: str) -> Column:
+    """(doc_id, row) of the row that stays: of its equals the one read first; a null id loses to any other."""
+    if keep == "max":
+        return F.max(F.struct("doc_id", (-F.col("row")).alias("row")))
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
+
+
+def _groups(rows: DataFrame, keep: str) -> DataFrame:
+    """(h, keep_id, group_size, winner) by one partial aggregate, however many rows share a hash."""
+    found = rows.groupBy("h").agg(_best(keep).alias("best"), F.count("*").alias("group_size"))
+    return found.select("h", F.col("best.doc_id").alias("keep_id"), "group_size", F.abs("best.row").alias("winner"))
+
+
+def _joined(rows: DataFrame, groups: DataFrame, large: float) -> DataFrame:
+    """Rows with their group: the few large groups by broadcast, the rest on the hash."""
+    big = F.broadcast(groups.where(F.col("group_size") > large))
+    return rows.join(big, "h").unionByName(rows.join(big.select("h"), "h", "left_anti").join(groups.where(F.col("group_size") <= large), "h"))
+
+
+def exact_duplicates(docs: DataFrame, content_hash: Column | None = None, keep: str = "min", broadcast_hashes: int = BROADCAST_HASHES, large: int = LARGE) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. `keep` names which id of equal texts stays, "min" or "max".
     Documents meet by a 128-bit hash (md5, unless `content_hash`, an expression over `text`,
-    is given). Bytes are compared by a partial aggregate whose key holds the whole text, so
-    copies collapse before the shuffle however many there are; only hashes and ids travel
-    after that. Texts that differ but share a hash are told apart by their rank in it. Of
-    repeated rows with the winning id exactly one is kept. A null id loses to any other; an
-    empty table gives an empty result.
+    is given); only hashes and ids travel for that. The bytes are fetched for hashes that more
+    than one row has, and compared by a partial aggregate whose key holds the whole text, so
+    copies collapse before the shuffle however many there are. Texts that differ but share a
+    hash are told apart by their rank in it. Of repeated rows with the winning id exactly one is
+    kept. A null id loses to any other; an empty table gives an empty result. Extra columns are
+    not read, whatever their names.
     """
-    best = F.max if keep == "max" else F.min
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
-    base = base.withColumn("h", F.md5("text") if content_hash is None else content_hash)
-    texts = base.groupBy("h", "text").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = cut(texts.groupBy("h").agg(F.count("*").alias("k"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
-    shared = groups.where("k > 1").select("h")
-    if shared.isEmpty():
-        rows = base.select("doc_id", "row", "h", F.sha2("text", 256).alias("text_sha256"))
-        groups = groups.drop("k")
+    hashed = F.unhex(F.md5("text")) if content_hash is None else content_hash
+    base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("row")).withColumn("h", hashed)
+    rows = cut(base.select("doc_id", "row", "h", F.sha2("text", 256).alias("text_sha256")))
+    groups = cut(_groups(rows, keep))
+    totals = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n"), F.count_if(F.col("group_size") > 1).alias("shared")).first()
+    threshold = max(large, totals["n"] * LARGE_SHARE)
+    shared = groups.where("group_size > 1").select("h")
+    few = totals["shared"] <= broadcast_hashes
+    fetched = base.select("h", "text").join(F.broadcast(shared) if few else shared, "h", "left_semi")
+    collided = cut(fetched.groupBy("h", "text").agg(F.lit(1)).groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"))
+    if collided.isEmpty():
+        out = _joined(rows, groups, threshold)
     else:
-        order = Window.partitionBy("h").orderBy("text")
-        ranked = texts.join(shared, "h", "left_semi").withColumn("rank", F.row_number().over(order))
-        tag = F.concat_ws("#", "h", F.col("rank").cast("string")).alias("h")
-        told = base.join(ranked.select("h", "text", "rank"), ["h", "text"], "left")
-        rows = told.select("doc_id", "row", tag, F.sha2("text", 256).alias("text_sha256"))
-        groups = groups.where("k = 1").drop("k").unionByName(ranked.select(tag, "keep_id", "group_size"))
-    rows = cut(rows).join(groups, "h")
-    # min() of the row number is a partial aggregate: repeated winners never meet in one task.
-    winner = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("row").alias("winner"))
-    rows = rows.join(winner, "h")
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("winner")).alias("kept"), "text_sha256")
+        # Rows of hashes that differing texts share are read again, and their hash gets the text's rank.
+        mixed = base.join(collided, "h", "left_semi")
+        ranked = mixed.select("h", "text").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("text")))
+        told = mixed.join(ranked, ["h", "text"]).select("doc_id", "row", F.concat_ws("#", F.col("h").cast("string"), F.col("rank").cast("string")).alias("h"), F.sha2("text", 256).alias("text_sha256"))
+        told = cut(told)
+        clean = _joined(rows.join(collided, "h", "left_anti"), groups.join(collided, "h", "left_anti"), threshold)
+        out = clean.drop("h").unionByName(_joined(told, _groups(told, keep), threshold).drop("h"))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("winner")).alias("kept"), "text_sha256")
 
 
 def query(docs: DataFrame) -> DataFrame:

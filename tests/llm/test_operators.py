@@ -72,10 +72,11 @@ def test_clean_text_with_a_repeated_header_stays(spark):
     assert {r["doc_id"]: r["failed_bits"] & 8 for r in quality.query(docs).collect()} == {1: 8, 2: 8}
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_exact(awkward, empty, weak):
-    """With a constant hash all texts collide, and only their bytes tell them apart."""
-    got = [tuple(r) for r in exact.exact_duplicates(awkward, F.lit("x") if weak else None, keep="max").collect()]
+@pytest.mark.parametrize("weak", [None, "'x'", "length(text) % 3"])
+@pytest.mark.parametrize("bounds", [(10**6, 1000), (0, 1)])
+def test_exact(awkward, empty, weak, bounds):
+    """With a poor hash all or some texts collide, and only their bytes tell them apart."""
+    got = [tuple(r) for r in exact.exact_duplicates(awkward, weak and F.expr(weak), "max", *bounds).collect()]
     groups = defaultdict(list)
     for i, t in AWKWARD:
         groups[t or ""].append(i)
@@ -83,6 +84,8 @@ def test_exact(awkward, empty, weak):
     assert Counter((a, b, c, e) for a, b, c, _, e in got) == want
     assert sum(r[3] for r in got) == len(groups)
     assert exact.exact_duplicates(empty).count() == 0
+    least = {(r["doc_id"], r["keep_id"]) for r in exact.exact_duplicates(awkward, weak and F.expr(weak)).collect()}
+    assert {(5, 5), (7, 5), (1, 1), (2, 1), (None, None)} <= least
 
 
 @pytest.mark.parametrize("bound", [0, 10**6])
