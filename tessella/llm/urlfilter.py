@@ -11,24 +11,33 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Production parameters: buckets of hashed n-grams, their sizes, most labelled rows used for the fit, and the fit itself.
 BUCKETS, SIZES, MAX_LABELLED, STEPS, RATE, RIDGE = 4096, (3, 4), 5_000, 300, 0.1, 1e-5
 
-#: The labelled table, as name parts that stand for unwanted and for ordinary hosts.
-UNWANTED = "casino-win spam-farm adult-x free-bets cheap-pills ads-track poker-online xxx-cams viagra-shop loan-now lottery-prize click-bait porn-tube crack-keygen replica-watch fast-cash bet-bonus hot-singles warez-dl pills-direct".split()
-ORDINARY = "news library museum garden weather kitchen history physics school travel music science forum recipes sports village theatre atlas harbour archive therein whether another thereon nation notion edition winter render order".split()
-#: Common letter pairs; two or three of them make the names of further ordinary hosts.
-PAIRS = "th er on an re in ti es or nt ea at".split()
-SUBDOMAINS, PATHS = ("", "www.", "blog.", "m."), ("/en/12", "/de/7.html", "/fr/431?page=2", "/es/88/", "/index", "/")
-DOMAINS = ("example.com", "example.net", "example.org")
-
-
-def labelled_rows() -> list[tuple[str, int]]:
-    """The small labelled URL table: (url, 1 for unwanted)."""
-    rows = []
-    built = [a + b + (PAIRS[(i + 2 * j) % len(PAIRS)] if (i + j) % 2 else "") for i, a in enumerate(PAIRS) for j, b in enumerate(PAIRS)]
-    for label, names in ((1, UNWANTED), (0, ORDINARY + built)):
-        for k, name in enumerate(names):
-            for j, sub in enumerate(SUBDOMAINS):
-                rows.append((f"https://{sub}{name}.{DOMAINS[(k + j) % len(DOMAINS)]}{PATHS[(k * 5 + j) % len(PATHS)]}", label))
-    return rows
+#: Words of unwanted hosts and of ordinary ones; the labelled table joins them two by two.
+UNWANTED = "casino poker betting bets slots jackpot lottery gambling viagra cialis pills pharma adult porn xxx cams escort dating spam phishing malware adserver ads tracker popup clicks warez crack keygen torrent replica payday loans bonus freebies cheap winner prize".split()
+ORDINARY = "news library museum garden weather kitchen history physics school travel music science forum recipes sports village theatre atlas harbour archive whether another nation edition winter render order report teacher health theory street forest winding tradition station national question mother weather center within thinking other river thread hearing reading".split()
+#: Consonants and vowels of invented names, which are ordinary.
+CONSONANTS, VOWELS = "b c d f g h l m n p r s t th sh wh st nd tr bl".split(), "a e i o u ea ou er on in".split()
+INVENTED = 160
+SUBDOMAINS, DOMAINS = ("", "www.", "blog.", "m."), ("com", "net", "org")
+#: Paths, of which every host, unwanted or not, has the same ones.
+PATHS = ("/en/12", "/de/7.html", "/fr/431?page=2", "/es/88/", "/index", "/")
+
+
+def hosts() -> list[tuple[str, int]]:
+    """The table's hosts without subdomain: (name and domain, 1 for unwanted)."""
+    found = []
+    for label, words in ((1, UNWANTED), (0, ORDINARY)):
+        for k, word in enumerate(words):
+            mates = [words[(k + step) % len(words)] for step in (5, 11)]
+            found += [(name, label) for name in (word, word + mates[0], f"{word}-{mates[1]}")]
+    for k in range(INVENTED):
+        parts = [(CONSONANTS if j % 2 == 0 else VOWELS)[(7 * k + 3 * j * j + k // (j + 2)) % (20 if j % 2 == 0 else 10)] for j in range(4 + k % 3)]
+        found.append(("".join(parts), 0))
+    return [(f"{name}.{DOMAINS[k % len(DOMAINS)]}", label) for k, (name, label) in enumerate(dict(found).items())]
+
+
+def labelled_rows(only: list[tuple[str, int]] | None = None) -> list[tuple[str, int]]:
+    """The small labelled URL table: (url, 1 for unwanted), each host with a subdomain and each path in turn."""
+    return [(f"https://{SUBDOMAINS[(k + j) % len(SUBDOMAINS)]}{host}{PATHS[j]}", label) for k, (host, label) in enumerate(hosts() if only is None else only) for j in (k % 3, k % 3 + 3)]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -43,7 +52,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
     """Buckets of the character n-grams of host and path; digits count as one character."""
     text = F.concat(F.lit("^"), host, F.lit(" "), F.regexp_replace(path, "[0-9]+", "0"), F.lit("$"))
-    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.lit(n - 1))), lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(buckets)).cast("int")) for n in SIZES]
+
+    def sized(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.lit(n - 1)))
+        # One parameter: with a second one transform() would hand in the index.
+        return F.transform(starts, lambda at: F.pmod(F.xxhash64(F.substring(text, at, F.lit(n))), F.lit(buckets)).cast("int"))
+
+    parts = [sized(n) for n in SIZES]
     return F.array_distinct(F.concat(*parts))
 
 
@@ -96,6 +111,9 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, threshold: float =
 
     Rules win; otherwise a page is blocked if the model's chance reaches `threshold`. A null url,
     or one without `://`, has empty host and path, fits no rule, and is judged like any other text.
+    A url of any length is read whole, its cost growing with its length. Repeated rows are judged
+    each, an empty table gives no rows, and columns of `pages` other than page_id and url are not
+    read, whatever their names.
     """
     weights, bias = fit(labelled)
     host, path = split_url(F.col("url").cast("string"))
@@ -112,7 +130,7 @@ def query(pages: DataFrame) -> DataFrame:
     return judge(pages, labelled_table(spark)).select("page_id", "host", "path", "rule", "verdict", F.round("probability", 6).alias("probability"))
 
 
-def labelled_table(spark: SparkSession) -> DataFrame:
-    """The labelled table as a relation of literal values."""
-    rows = ", ".join(f"('{url}', {label})" for url, label in labelled_rows())
+def labelled_table(spark: SparkSession, only: list[tuple[str, int]] | None = None) -> DataFrame:
+    """The labelled table, or its rows for some of the hosts, as a relation of literal values."""
+    rows = ", ".join(f"('{url}', {label})" for url, label in labelled_rows(only))
     return spark.sql(f"select * from values {rows} as t(url, label)")
