@@ -8,33 +8,39 @@ that a later model learns how far an earlier one can be trusted on documents it
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Production parameters: buckets of hashed words, most labelled rows of either class used for the fit, folds, steps, and the decision.
-BUCKETS, MAX_ROWS, FOLDS, STEPS, RATE, RIDGE, THRESHOLD = 1 << 20, 4_000, 3, 120, 0.3, 1e-3, 0.5
-#: A bucket counts as a feature if it leans on a category beyond chance: least chi-square, least documents, most features; lengths of word beginnings.
-LEAST_CHI2, LEAST_DOCS, MAX_FEATURES, STEMS = 30.0, 5, 2_000, (4, 5, 6, 7)
+BUCKETS, MAX_ROWS, FOLDS, STEPS, RATE, RIDGE, THRESHOLD = 1 << 20, 4_000, 3, 120, 0.3, 3e-4, 0.5
+#: A bucket counts as a feature if it leans on a category beyond chance: its chi-square is at least this share of the rows, held between two bounds.
+CHI2_SHARE, CHI2_BOUNDS = 0.15, (30.0, 60.0)
+#: Least documents of the category that hold a feature, most features; lengths of word beginnings.
+LEAST_DOCS, MAX_FEATURES, STEMS = 4, 2_000, (4, 5, 6, 7)
+#: A language is a category of its own from so many toxic labelled documents on; at most so many languages are.
+LEAST_TOXIC, MAX_LANGS = 2, 32
 CACHE = 400_000
 WORD = regex.compile(r"\p{L}+")
 
-#: Words that split the labelled toxic documents into kinds; the last category is the label itself.
-KINDS: Mapping[str, tuple[str, ...]] = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "vermin"),
-}
 
+def categories(toxic: np.ndarray, poor: np.ndarray, langs: list[str | None]) -> tuple[tuple[str, ...], np.ndarray]:
+    """The chain in order, and a 0/1 label of each row for each category.
 
-def categories(text: Column, toxic: Column, kinds: Mapping[str, tuple[str, ...]] = KINDS) -> dict[str, Column]:
-    """The chain in order: name and 0/1 label of each category."""
-    out = {name: ((toxic == 1) & F.lower(text).rlike(rf"\b({'|'.join(terms)})\b")).cast("int") for name, terms in kinds.items()}
-    return out | {"toxic": toxic.cast("int")}
+    First comes low quality, by the quality labels; then toxicity in each language that has
+    labelled examples, whose words a rarer language would otherwise lose to a commoner one;
+    last toxicity itself, the label that counts.
+    """
+    names = np.asarray([regex.sub(r"\W", "_", lang or "") for lang in langs], object)
+    found, counts = np.unique(names[(toxic == 1) & (names != "")].astype(str), return_counts=True)
+    kept = sorted(found[np.argsort(-counts, kind="stable")][: int(np.sum(np.sort(counts)[::-1][:MAX_LANGS] >= LEAST_TOXIC))].tolist())
+    columns = [poor, *[(toxic == 1) & (names == lang) for lang in kept], toxic]
+    return ("low_quality", *[f"toxic_{lang}" for lang in kept], "toxic"), np.column_stack(columns).astype(float)
 
 
 class Buckets(dict):
@@ -95,14 +101,15 @@ class Chain:
 
 
 def _linear(rows: Rows, n: int, extra: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by full-batch steps; weights of features, of extra columns, bias."""
+    """Ridge logistic regression by full-batch steps, either class of equal weight; weights of features, of extra columns, bias."""
     at, cols, values = _stack(rows)
+    share = np.where(y == 1, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, (1 - y).sum()))
     docs, k = len(y), extra.shape[1]
     w, m, v = np.zeros(n + k + 1), np.zeros(n + k + 1), np.zeros(n + k + 1)
     ridge = np.append(np.full(n + k, RIDGE), 0)
     for t in range(1, STEPS + 1):
-        error = _sigmoid(np.bincount(at, w[cols] * values, docs) + extra @ w[n : n + k] + w[-1]) - y
-        grad = np.concatenate([np.bincount(cols, error[at] * values, n), extra.T @ error, [error.sum()]]) / max(docs, 1) + ridge * w
+        error = (_sigmoid(np.bincount(at, w[cols] * values, docs) + extra @ w[n : n + k] + w[-1]) - y) * share
+        grad = np.concatenate([np.bincount(cols, error[at] * values, n), extra.T @ error, [error.sum()]]) + ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -112,7 +119,7 @@ def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...], buckets:
     """Fit the chain on a bounded sample; `labels` has a column per category, in chain order.
 
     Features are chosen by chi-square on the sample. Without rows, or where a category has a
-    single class, its model is a bias alone. Fold k holds the documents k, k + folds, and so on.
+    single class, its model is a bias alone. Folds deal out the rows of each set of labels in turn.
     """
     table, n = Buckets(buckets), len(texts)
     docs = [features(t, table) for t in texts]
@@ -123,13 +130,15 @@ def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...], buckets:
         if 0 < yes < n:
             both = count(labels[:, k])
             lean = both * (n - yes - (df - both)) - (df - both) * (yes - both)
-            chi2 = np.maximum(chi2, n * lean**2.0 / np.maximum(1, df * (n - df) * yes * (n - yes)))
-    chosen = np.flatnonzero((df >= LEAST_DOCS) & (chi2 >= LEAST_CHI2))
+            # Only buckets that enough documents of the category hold: few documents share many words by chance.
+            chi2 = np.maximum(chi2, (both >= LEAST_DOCS) * n * lean**2.0 / np.maximum(1, df * (n - df) * yes * (n - yes)))
+    chosen = np.flatnonzero(chi2 >= np.clip(CHI2_SHARE * n, *CHI2_BOUNDS))
     chosen = np.sort(chosen[np.argsort(-chi2[chosen], kind="stable")][:MAX_FEATURES])
     slot = np.full(buckets, -1, np.int64)
     slot[chosen] = np.arange(len(chosen))
     rows = [(slot[k][slot[k] >= 0], v[slot[k] >= 0]) for k, v in docs]
-    fold, out, weights = np.arange(n) % folds, np.zeros((n, 0)), []
+    fold, out, weights = np.empty(n, np.int64), np.zeros((n, 0)), []
+    fold[np.lexsort(labels.T) if n else []] = np.arange(n) % folds
     pick = lambda some: [rows[i] for i in np.flatnonzero(some)]
     for k in range(len(names)):
         y = labels[:, k].astype(float) if n else np.zeros(0)
@@ -149,17 +158,25 @@ def train(texts: list[str], labels: np.ndarray, names: tuple[str, ...], buckets:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, tuple[str, ...]]:
-    """At most `max_rows` labelled documents of either class, the first by a hash of their ids."""
-    marked = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")).where("__id is not null and __toxic is not null")
+    """Texts, category labels and category names of at most `max_rows` labelled documents of either class, the first by a hash of their ids.
+
+    An id labelled more than once is toxic if any of its labels says so, and of low quality
+    likewise. Labels without an id or a toxicity are left out; a text given twice in the sample
+    counts once. Without a column `lang` (or `quality`) those categories have no rows.
+    """
+    quality = F.col("quality") if "quality" in labels.columns else F.lit(None).cast("int")
+    marked = labels.select(F.col("doc_id").alias("__id"), (F.col("toxic") == 1).cast("int").alias("__toxic"), (quality == 0).cast("int").alias("__poor"))
+    marked = marked.where("__id is not null and __toxic is not null").groupBy("__id").agg(F.max("__toxic").alias("__toxic"), F.coalesce(F.max("__poor"), F.lit(0)).alias("__poor"))
     order = [F.xxhash64("__id"), F.col("__id")]
-    some = marked.where("__toxic = 1").orderBy(*order).limit(max_rows).unionByName(marked.where("__toxic <> 1").orderBy(*order).limit(max_rows))
-    base = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    some = marked.where("__toxic = 1").orderBy(*order).limit(max_rows).unionByName(marked.where("__toxic = 0").orderBy(*order).limit(max_rows))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    base = docs.select(F.col("doc_id").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"), lang.alias("__lang"))
     # The sample's size is bounded by max_rows, so its ids may be broadcast.
-    met = base.join(F.broadcast(some.dropDuplicates(["__id"])), "__id").select("__id", "__text", "__toxic")
-    met = met.orderBy(F.xxhash64("__id"), "__id", "__text").limit(2 * max_rows)
-    chain = categories(F.col("__text"), F.col("__toxic"))
-    got = met.select("__text", *[c.alias(name) for name, c in chain.items()]).collect()
-    return [r["__text"] for r in got], np.asarray([[r[n] for n in chain] for r in got], float).reshape(len(got), len(chain)), tuple(chain)
+    met = base.join(F.broadcast(some), "__id").orderBy(F.xxhash64("__id"), "__id", "__text", "__lang").limit(2 * max_rows)
+    got = {r["__text"]: r for r in reversed(met.collect())}
+    rows = [got[text] for text in reversed(list(got))]
+    names, found = categories(np.asarray([r["__toxic"] for r in rows], float), np.asarray([r["__poor"] for r in rows], float), [r["__lang"] for r in rows])
+    return [r["__text"] for r in rows], found, names
 
 
 def _run(chain: Chain, threshold: float) -> Callable:
@@ -179,7 +196,7 @@ def _run(chain: Chain, threshold: float) -> Callable:
 def classify(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, a chance p_<category> per category, and is_toxic, one row per input row.
 
-    Whole texts are read; features are not scaled by a text's length, so length doesn't dilute them. Null and
+    Only doc_id and text are read, whatever other columns are called; an empty table gives no rows. Whole texts are read; features are not scaled by a text's length, so length doesn't dilute them. Null and
     empty texts have no words and get the chain's bias. Nothing is shuffled or gathered.
     """
     kind = docs.schema["doc_id"].dataType
