@@ -25,18 +25,25 @@ class Node:
 
 
 def topology(shards: int, racks: int = 2, per_rack: int = 4) -> Node:
-    """Regions of `racks` times `per_rack` equal shards; each shard beyond whole regions opens a region.
+    """Regions of `racks` times `per_rack` equal shards; each shard beyond whole regions is a region of its own.
 
-    So growing from whole regions by a shard changes one subtree's weight at the root, and
-    rows move into that subtree, which is the new shard, and nowhere else.
+    This lays a cluster out anew. Between two layouts with as many whole regions keys move only
+    into or out of spare regions, but where spares become a whole region (from 23 to 24) keys move
+    between old shards too. A running cluster is therefore grown by grow(), not by a new layout.
     """
     size, regions = racks * per_rack, []
     for r in range(shards // size):
         rack = tuple(Node(f"rack{k}", children=tuple(Node(f"shard{j}", shard=r * size + k * per_rack + j) for j in range(per_rack))) for k in range(racks))
         regions.append(Node(f"region{r}", children=rack))
+    tree = Node("root", children=tuple(regions))
     for s in range(shards // size * size, shards):
-        regions.append(Node(f"spare{s}", children=(Node("rack0", children=(Node("shard0", shard=s),)),)))
-    return Node("root", children=tuple(regions))
+        tree = grow(tree, s)
+    return tree
+
+
+def grow(tree: Node, shard: int) -> Node:
+    """The tree with a new region that holds one shard: all else stays where it is, so keys move into that shard alone."""
+    return Node(tree.name, tree.weight, None, (*tree.children, Node(f"spare{shard}", children=(Node("rack0", children=(Node("shard0", shard=shard),)),))))
 
 
 def place(key: Column, tree: Node, path: str = "") -> Column:
@@ -72,7 +79,9 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, key: str = "d
     key alone decides the shard, so repeated keys share one; a null key is a key like any other.
     slot is gapless from 0 in each shard: rows are numbered inside their input partition and
     shifted by the rows of the partitions before it, so no shard is ever sorted or gathered. The
-    small rows are written out first, and both passes over them read the same numbers.
+    small rows are written out first, and both passes over them read the same numbers. Texts of any
+    length are only measured, where they lie; repeated rows are placed each; an empty table gives no
+    rows; columns other than the key and the text are not read, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     where = F.col(key).cast("string")
@@ -96,4 +105,5 @@ def assign(docs: DataFrame, tree: Node, grown: Node | None = None, key: str = "d
 
 def query(docs: DataFrame) -> DataFrame:
     """The op9 digest: 16 shards under the key law, and the shard with one more."""
-    return assign(docs, topology(16), topology(17)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    tree = topology(16)
+    return assign(docs, tree, grow(tree, 16)).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -269,19 +269,89 @@ def test_urls(spark):
     assert [got[k]["verdict"] for k in (4, 5, 6, 8, 9, 10)] == ["block", "allow", "block", "allow", "block", "allow"]
     assert urlfilter.query(pages.limit(0)).count() == 0
     assert urlfilter.fit(urlfilter.labelled_table(spark).limit(0))[1] == 0
-
-
-def test_toxicity(spark, awkward):
+    twice = spark.createDataFrame([(1, urls[6]), (1, urls[6]), (None, "http://a.org/fr/" + "x" * 20_000)], "page_id long, url string")
+    assert Counter((r["page_id"], r["verdict"], len(r["path"])) for r in urlfilter.query(twice).collect()) == Counter({(1, "block", 4): 2, (None, "allow", 20_004): 1})
+
+
+def brute_verdict(url, weights, bias):
+    """Host, path, rule and verdict by plain Python."""
+    import xxhash
+
+    host, path = "", ""
+    if url is not None and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([k for k in (rest.find(c) for c in "/?#") if k >= 0], default=len(rest))
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = re.split(r"[?#]", rest[cut:], maxsplit=1)[0]
+    fits = [(h + p, says) for h, p, says in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    if fits:
+        rule, says = max(fits, key=lambda f: (len(f[0]), f[0]))
+        return host, path, rule, says
+    text = "^" + host + " " + re.sub("[0-9]+", "0", path) + "$"
+    grams = {xxhash.xxh64(text[k : k + n].encode(), seed=42).intdigest() for n in urlfilter.SIZES for k in range(max(1, len(text) - n + 1))}
+    signed = {(g - 2**64 if g >= 2**63 else g) % len(weights) for g in grams}
+    score = sum(weights[g] for g in signed) / len(signed) ** 0.5 + bias
+    return host, path, None, "block" if score >= 0 else "allow"
+
+
+def test_urls_brute_force(spark):
+    """Every page of the smallest table and odd urls, host to verdict."""
+    weights, bias = urlfilter.fit(urlfilter.labelled_table(spark))
+    weights = [float(f"{w:.6g}") for w in weights]
+    odd = ["HTTP://WWW.X.ORG/FR/", "http://x.org/fr/", "http://É.com?x/y", "://", "a://", "http://net/", "http://x.net?y", "http://sub.example.net/en/a/b?c://d", "ftp://example.com/de", "casino"]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate(odd)], "page_id long, url string"))
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.query(pages).collect()}
+    assert got == {i: brute_verdict(u, weights, bias) for i, u in urls.items()}
+
+
+def test_unseen_hosts(spark):
+    """Of hosts the model was not fitted on, in three turns of held-out hosts; none is a host of the test tables."""
+    every, right = urlfilter.hosts(), Counter()
+    for turn in range(3):
+        weights, bias = urlfilter.fit(urlfilter.labelled_table(spark, [h for k, h in enumerate(every) if k % 3 != turn]))
+        held = urlfilter.labelled_table(spark, [h for k, h in enumerate(every) if k % 3 == turn])
+        host, path = urlfilter.split_url(F.col("url"))
+        out = held.select("label", (urlfilter.probability(host, path, weights, bias) >= 0.5).alias("block")).collect()
+        right.update((r["label"], r["block"]) for r in out)
+    recall = right[1, True] / (right[1, True] + right[1, False])
+    precision = right[1, True] / (right[1, True] + right[0, True])
+    seen = {r["host"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select(urlfilter.split_url(F.col("url"))[0].alias("host")).distinct().collect()}
+    assert recall > 0.8 and precision > 0.9, (recall, precision)
+    assert not {host.split(".")[0] for host, _ in every} & {part for host in seen for part in host.split(".")[:-2]}
+
+
+def test_toxicity(spark, awkward, empty):
     r = random.Random(1)
-    bad = [w for ws in toxicity.KINDS.values() for w in ws[:5]]
+    bad = "idiot moron stupid clown loser trash scum worthless pathetic disgusting".split()
     text = lambda k, tox: " ".join([*prose(k, 80).split(), *(r.sample(bad, 4) if tox else [])])
     rows = [(k, text(k, k % 3 == 0)) for k in range(300)]
-    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(200)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    # Ids 0 and 1 are labelled both ways, in this order and the other: a toxic label counts.
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(200)] + [(None, 1, 1), (0, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     got = {x["doc_id"]: x["is_toxic"] for x in toxicity.query(make(spark, rows), labels).collect()}
     held = [k for k in range(200, 300)]
     assert sum(got[k] == (k % 3 == 0) for k in held) >= 97
+    texts, found, names = toxicity.sample(make(spark, rows), labels)
+    assert names == ("low_quality", "toxic_en", "toxic") and len(texts) == 200 and found[:, -1].sum() == 67
     out = toxicity.query(awkward, labels.limit(0))
     assert out.count() == len(AWKWARD) and out.where("is_toxic").count() == 0
+    assert toxicity.query(empty, labels).count() == 0 and toxicity.query(awkward.drop("lang"), labels.drop("quality")).count() == len(AWKWARD)
+
+
+def test_toxicity_in_every_language(spark):
+    """Fit on the small table's labels, where a language has 4 to 36 toxic rows; judged on the larger table's other texts."""
+    read = lambda sf, name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    chain = toxicity.train(*toxicity.sample(read("sf0.01", "documents"), read("sf0.01", "labels")))
+    held = read("sf0.1", "documents").join(read("sf0.1", "labels"), "doc_id").join(read("sf0.01", "documents").select("text"), "text", "left_anti").dropDuplicates(["text"]).cache()
+    out = toxicity.classify(held, chain).join(held.select("doc_id", "lang", "toxic"), "doc_id").groupBy("lang", "toxic").agg(F.avg(F.col("is_toxic").cast("int")).alias("said"))
+    share = {(r["lang"], r["toxic"]): r["said"] for r in out.collect()}
+    assert min(share[lang, 1] for lang in ("de", "en", "es", "fr")) > 0.8 and max(share[lang, 0] for lang in ("de", "en", "es", "fr")) < 0.08, share
+
+
+def test_categories():
+    names, labels = toxicity.categories(np.asarray([1, 1, 0, 1, 1, 1.0]), np.asarray([0, 0, 1, 0, 0, 0.0]), ["en", "en", "en", None, "pt-br", "pt-br"])
+    assert names == ("low_quality", "toxic_en", "toxic_pt_br", "toxic") and labels.sum(axis=0).tolist() == [1, 2, 2, 5]
+    assert toxicity.categories(np.zeros(0), np.zeros(0), [])[0] == ("low_quality", "toxic")
 
 
 def test_pii(spark, empty):
@@ -331,6 +401,46 @@ def test_sharding(spark, awkward, empty):
     assert 150 < len([r for r in many if r[6] == 16]) < 330 and all(150 < len(v) < 360 for v in slots.values())
 
 
+def brute_place(key, tree, path=""):
+    """The shard of a key by plain Python: at each level the least draw -ln(u) / weight."""
+    import math
+
+    import xxhash
+
+    if not tree.children:
+        return tree.shard
+    if len(tree.children) == 1:
+        return brute_place(key, tree.children[0], f"{path}/{tree.children[0].name}")
+    draws = []
+    for child in tree.children:
+        first = xxhash.xxh64(key.encode(), seed=42).intdigest()
+        u = ((xxhash.xxh64(f"{path}/{child.name}".encode(), seed=first).intdigest() >> 11) + 1) * 2.0**-53
+        draws.append((-math.log(u) / child.total, len(draws), child))
+    child = min(draws)[2]
+    return brute_place(key, child, f"{path}/{child.name}")
+
+
+def test_sharding_brute_force(spark):
+    """Shard and grown shard of the smallest table's documents, and unequal weights, against plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tree, grown = shard.topology(16), shard.grow(shard.topology(16), 16)
+    for r in shard.query(docs).collect():
+        assert (r["shard"], r["grown_shard"]) == (brute_place(str(r["doc_id"]), tree), brute_place(str(r["doc_id"]), grown))
+    uneven = shard.Node("root", children=(shard.Node("a", 1.0, 0), shard.Node("b", children=(shard.Node("c", 3.0, 1), shard.Node("d", 0.5, 2)))))
+    got = spark.range(500).select("id", shard.place(F.col("id").cast("string"), uneven).alias("s")).collect()
+    assert {r["id"]: r["s"] for r in got} == {k: brute_place(str(k), uneven) for k in range(500)}
+
+
+def test_growing_shard_by_shard(spark):
+    """From 16 shards to 25, one at a time: keys only ever move into the new one."""
+    tree, keys = shard.topology(16), spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    trees = [tree]
+    for new in range(16, 25):
+        trees.append(shard.grow(trees[-1], new))
+    for r in keys.select(*[shard.place(F.col("k"), t).alias(f"s{n}") for n, t in enumerate(trees)]).collect():
+        assert all(b == a or b == 15 + n for n, (a, b) in enumerate(zip(r, r[1:]), 1))
+
+
 def test_weights_move_only_their_subtree(spark):
     leaf = lambda s, w=1.0: shard.Node(f"s{s}", w, s)
     tree = lambda w: shard.Node("root", children=(shard.Node("a", children=(leaf(0), leaf(1))), shard.Node("b", children=(leaf(2), leaf(3, w)))))
