@@ -2,12 +2,15 @@
 
 1. Each text becomes a signature of `trees` times `depth` bytes. A tree's bytes, in order, are a
    path in its prefix tree. Equal texts share one signature from here on.
-2. Texts meet where their paths in some tree share a prefix. It is shortened from the full depth
-   to the longest one at which all trees together find a pair at the threshold with the target
-   recall. In a meeting, the sorted paths are walked from the longest shared prefix to the
-   shortest; texts whose signatures agree well enough are tied, a tie less than texts.
-3. Ties give families. A family's texts are fetched once, dealt in blocks, and all pairs of it are
-   verified exactly by a product of its shingle table; the pairs are counted, never written.
+2. The trees are descended from the full depth to ever shorter prefixes. At a depth, texts whose
+   paths in some tree share that prefix meet, in the order of their paths, and are tied if their
+   signatures agree well enough. A prefix is only opened if it brings together texts that longer
+   ones did not tie into one family, and only texts of different families are compared in it.
+3. After each depth the recall is measured: a tie that was met in few trees stands for others that
+   were met in none. Texts of a size whose recall is below the target go on to the next shorter
+   prefix, the others stop.
+4. A family's texts are fetched, dealt in blocks, and all pairs of it that can be similar by their
+   sizes are verified exactly by a product of its shingle table; the pairs are counted, never written.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from tessella.session import cut
 
 #: Production parameters: words of a shingle, similarity, trees and their full depth, recall of a pair at the threshold, texts of a block.
 WORDS, SIMILAR, TREES, DEPTH, RECALL, BLOCK = 5, 0.8, 24, 6, 0.9999, 1024
+#: Up to so many rows of ids are broadcast to fetch or to drop texts where they lie; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 300_000
 #: Words that a worker remembers at most, and shingles of a family that it compares at once.
 CACHE, COLUMNS = 100_000, 1024
 SEED = 20_011
@@ -58,12 +63,9 @@ def shingles(text: str, hashes: Hashes, n: int = WORDS) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])]
 
 
-def prefix_depth(trees: int = TREES, depth: int = DEPTH, similar: float = SIMILAR, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target recall."""
-    for d in range(depth, 0, -1):
-        if 1 - (1 - similar**d) ** trees >= recall:
-            return d
-    raise ValueError("the trees can't reach this recall; use more of them")
+def met_share(depth: int, trees: int = TREES, similar: float = SIMILAR) -> float:
+    """The chance that a pair of this similarity shares a prefix of `depth` in some tree."""
+    return 1 - (1 - similar**depth) ** trees
 
 
 def least_agreement(values: int, similar: float = SIMILAR) -> int:
@@ -93,22 +95,27 @@ def _signatures(n: int, values: int) -> Callable:
     return run
 
 
-def _tie(sign: np.ndarray, ids: np.ndarray, least: int) -> tuple[list[int], list[int]]:
-    """Ties of one meeting: a forest over its texts, whose signatures agree in `least` bytes.
+def _tie(sign: np.ndarray, ids: np.ndarray, family: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """Ties of one meeting: a forest over its families, some of whose signatures agree in `least` bytes.
 
-    The texts come in the order of their paths, so the longest shared prefixes are tied first,
-    most of them at once; what stays free is compared with every text of the meeting.
+    The texts come in the order of their paths, so those with the longest shared prefix are
+    compared first. A family that is tied joins those already reached, with all its texts.
     """
     src, dst, free = [], [], np.arange(len(ids))
-    while len(free) > 1:
-        queue, free = [int(free[0])], free[1:]
+    while len(free):
+        reached = family[free] == family[free[0]]
+        queue, free = free[reached].tolist(), free[~reached]
         while queue and len(free):
             at = queue.pop()
-            near = np.concatenate([(sign[free[k : k + 8192]] == sign[at]).sum(axis=1) >= least for k in range(0, len(free), 8192)])
-            src += [ids[at]] * int(near.sum())
-            dst += ids[free[near]].tolist()
-            queue += free[near].tolist()
-            free = free[~near]
+            near = free[np.concatenate([(sign[free[k : k + 8192]] == sign[at]).sum(axis=1) >= least for k in range(0, len(free), 8192)])]
+            if not len(near):
+                continue
+            new, first = np.unique(family[near], return_index=True)
+            src += [ids[at]] * len(new)
+            dst += ids[near[first]].tolist()
+            reached = np.isin(family[free], new)
+            queue += free[reached].tolist()
+            free = free[~reached]
     return src, dst
 
 
@@ -120,9 +127,9 @@ def _ties(least: int) -> Callable:
         new = np.append(True, np.any([rest[c].to_numpy()[1:] != rest[c].to_numpy()[:-1] for c in names], axis=0))
         starts = np.append(np.flatnonzero(new), len(rest))
         sign = np.frombuffer(b"".join(rest["sign"]), np.uint8).reshape(len(rest), -1)
-        ids, src, dst = rest["row"].to_numpy(), [], []
+        ids, family, src, dst = rest["row"].to_numpy(), rest["family"].to_numpy(), [], []
         for a, b in zip(starts[:-1], starts[1:]):
-            one = _tie(sign[a:b], ids[a:b], least)
+            one = _tie(sign[a:b], ids[a:b], family[a:b], least)
             src += one[0]
             dst += one[1]
         return pd.DataFrame({"src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64)})
@@ -141,6 +148,60 @@ def _ties(least: int) -> Callable:
     return run
 
 
+def _meet(texts: DataFrame, at: int, trees: int, depth: int, block: int, least: int) -> DataFrame:
+    """Ties (src, dst) at prefixes of `at` bytes among texts(row, size, sign, family)."""
+    # Paths travel in hexadecimal: as raw bytes, ones that end in a zero byte would not compare in numpy.
+    paths = texts.select("row", "family", F.posexplode(F.array(*[F.hex(F.substring("sign", t * depth + 1, at)) for t in range(trees)])).alias("tree", "path"))
+    crowd = paths.groupBy("tree", "path").agg(F.count("*").alias("n"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi")
+    crowd = crowd.select("tree", "path", F.ceil(F.col("n") / (block // 2 or 1)).cast("int").alias("parts"))
+    # A meeting of many texts is dealt to pairs of parts, so that no task holds more than two parts of it.
+    met = paths.join(crowd, ["tree", "path"]).withColumn("part", F.expr("cast(pmod(xxhash64(row), parts) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("row", "family", "tree", "path", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).join(texts.select("row", "sign"), "row")
+    met = met.repartition("tree", "path", "p", "q").withColumn("steps", F.substring("sign", F.col("tree") * depth + 1, F.lit(depth))).sortWithinPartitions("tree", "path", "p", "q", "steps")
+    return met.select("row", "family", "tree", "path", "p", "q", "sign").mapInPandas(_ties(least), "src long, dst long")
+
+
+def measured(ties: DataFrame, texts: DataFrame, at: int, trees: int, depth: int) -> DataFrame:
+    """(band, recall): of the pairs like those tied, the share that prefixes of `at` bytes find, by the power of two of the size.
+
+    A pair met in t of the trees would be met in none with chance (1 - t / trees) ** trees, so it
+    stands for that many more than itself.
+    """
+    ends = ties.join(texts.select(F.col("row").alias("src"), F.col("sign").alias("a"), "band"), "src").join(texts.select(F.col("row").alias("dst"), F.col("sign").alias("b")), "dst")
+    same = sum((F.substring("a", t * depth + 1, at) == F.substring("b", t * depth + 1, at)).cast("int") for t in range(trees))
+    ends = ends.select("band", F.greatest(same, F.lit(1)).alias("t"))
+    found = 1 - F.pow(1 - F.col("t") / trees, F.lit(trees))
+    return ends.groupBy("band").agg((F.count("*") / F.sum(1 / found)).alias("recall"))
+
+
+def forest(texts: DataFrame, trees: int = TREES, depth: int = DEPTH, similar: float = SIMILAR, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(id, component): families of texts(row, size, sign), found from the longest prefixes to the shortest that the recall asks for.
+
+    A size without ties is judged by what a pair right at the threshold would meet with.
+    """
+    least = least_agreement(trees * depth, similar)
+    texts = cut(texts.withColumn("band", F.floor(F.log2("size")).cast("int")))
+    bands = [r["band"] for r in texts.select("band").distinct().collect()]  # at most 31
+    open_, ties, families = set(bands), None, None
+    for at in range(depth, 0, -1):
+        some = texts if len(open_) == len(bands) else texts.where(F.col("band").isin(sorted(open_)))
+        if families is None:
+            some = some.withColumn("family", F.col("row"))
+        else:
+            some = some.join(families.withColumnRenamed("id", "row"), "row", "left").withColumn("family", F.coalesce("component", "row"))
+        new = cut(_meet(some, at, trees, depth, block, least))
+        if families is None or not new.isEmpty():
+            ties = new if ties is None else ties.unionByName(new)
+            families = cut(connected_components(ties))
+        seen = {r["band"]: r["recall"] for r in measured(ties, texts, at, trees, depth).collect()}
+        low = {b for b in open_ if seen.get(b, met_share(at, trees, similar)) < recall}
+        # A pair's sizes differ by less than a power of two, so the bands beside one that goes on do so too.
+        open_ = {b for b in bands if {b - 1, b, b + 1} & low}
+        if not open_:
+            break
+    return families
+
+
 def _verify(n: int, similar: float) -> Callable:
     """Exact links of one block, or between two: per text the copies linked to it, and a forest over the links."""
 
@@ -198,8 +259,8 @@ def _forest(left: np.ndarray, right: np.ndarray, linked: np.ndarray, n: int) ->
     return src, dst
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, class_size, kept, text_md5.
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, class_size, kept, text_md5, and the column `row` if it is named.
 
     Two documents are linked if the sets of their word shingles have a Jaccard similarity of
     `similar` or more; equal texts are linked as well. n_links counts the other documents linked
@@ -207,33 +268,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     document of a class, the one read first. Texts under `words` words are a single shingle of all
     their words. Null and blank texts have no shingles: they are linked to equal texts only. Null
     ids are carried along and never name a class that has another id. Repeated rows are documents
-    of their own. Every pair at the threshold is met with chance `recall` at least and verified on
-    whole texts; there is no cap on partners.
+    of their own. An empty table gives no rows; extra columns are not read, whatever their names.
+    The shorter prefixes are opened until the measured share of similar pairs that meet is
+    `recall`; all that meet are verified on whole texts; there is no cap on partners. `row` names
+    a column of unique longs, which otherwise are drawn here.
     """
     kind = docs.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc"), F.md5(text).alias("key"), text.alias("text"))
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    base = docs.select(number.alias("row"), F.col("doc_id").cast("string").alias("doc"), F.md5(text).alias("key"), text.alias("text"))
     signed = cut(base.mapInPandas(_signatures(words, trees * depth), "row long, doc string, key string, size int, sign binary"))
     signed = signed.withColumn("doc", F.col("doc").cast(kind))
-    texts = cut(signed.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("doc").alias("doc")))
+    texts = cut(signed.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("doc").alias("doc"), F.max("size").alias("size")))
 
-    prefix = prefix_depth(trees, depth, similar, recall)
-    reps = signed.join(texts.select("row"), "row", "left_semi").where("size > 0").select("row", "sign")
-    paths = reps.select("row", F.posexplode(F.array(*[F.substring("sign", t * depth + 1, prefix) for t in range(trees)])).alias("tree", "path"))
-    crowd = paths.groupBy("tree", "path").agg(F.count("*").alias("n")).where("n > 1").select("tree", "path", F.ceil(F.col("n") / (4 * block)).cast("int").alias("parts"))
-    # A meeting of many texts is dealt to pairs of parts, so that no task holds more than two parts of it.
-    met = paths.join(crowd, ["tree", "path"]).withColumn("part", F.expr("cast(pmod(xxhash64(row), parts) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("row", "tree", "path", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).join(reps, "row")
-    met = met.repartition("tree", "path", "p", "q").withColumn("steps", F.substring("sign", F.col("tree") * depth + 1, F.lit(depth))).sortWithinPartitions("tree", "path", "p", "q", "steps")
-    ties = met.select("row", "tree", "path", "p", "q", "sign").mapInPandas(_ties(least_agreement(trees * depth, similar)), "src long, dst long")
-    families = connected_components(ties)
+    reps = signed.join(texts.select("row"), "row", "left_semi").where("size > 0").select("row", "size", "sign")
+    families = forest(reps, trees, depth, similar, recall, block)
     families = cut(families.withColumnRenamed("id", "row").join(texts, "row"))
 
-    blocks = families.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = families.join(blocks, "component").select("component", "row", "copies", "key", "doc", "blocks", F.expr("cast(pmod(xxhash64(row), blocks) as int)").alias("block"))
-    # Only a family over one block is dealt to pairs of blocks: each text to as many as there are blocks.
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A family over one block is dealt by size, in steps of the similarity: only texts of one step or of neighbours can be similar.
+    many = families.groupBy("component").agg(F.count("*").alias("n")).select("component", (F.col("n") > block).alias("big"))
+    step = F.when(F.col("big"), F.floor(F.log("size") / -math.log(similar))).otherwise(0).cast("long")
+    own = families.join(many, "component").withColumn("step", step).select("component", "row", "copies", "key", "doc", "step")
+    blocks = own.groupBy("component", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    beside = blocks.select("component", F.col("step").alias("other_step"), F.col("blocks").alias("others"), F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])).alias("step"))
+    dealt = own.join(blocks, ["component", "step"]).withColumn("block", F.col("step") * (1 << 32) + F.expr("pmod(xxhash64(row), blocks)"))
+    dealt = dealt.join(beside, ["component", "step"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    dealt = dealt.withColumn("other", F.col("other_step") * (1 << 32) + F.col("other"))
     named = dealt.select(F.col("key").alias("k"), F.col("doc").alias("d"), "component", "row", "copies", "block", "other")
+    if families.count() <= BROADCAST_ROWS // 4:
+        named = F.broadcast(named)
     whole = base.select("key", F.col("doc").cast(kind).alias("doc"), "text")
     fetched = whole.join(named, (F.col("key") == F.col("k")) & F.col("doc").eqNullSafe(F.col("d")))
     fetched = fetched.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "row", "copies", "block", "text")
@@ -247,16 +310,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: float = SIMILA
     heads = named.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.join(heads, "root")
     out = signed.select("row", "doc", "key").join(named.select("key", "copies", "root", "links", "class_id", "class_size"), "key")
-    return out.select(F.col("doc").alias("doc_id"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size", (F.col("row") == F.col("root")).alias("kept"), F.col("key").alias("text_md5"))
+    own_row = [] if row is None else [F.col("row").alias(row)]
+    return out.select(F.col("doc").alias("doc_id"), "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_size", (F.col("row") == F.col("root")).alias("kept"), F.col("key").alias("text_md5"), *own_row)
 
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of `docs`, all columns, of which one stays per class; of rows that repeat its id and text, one."""
-    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = docs.withColumn("__key", F.md5(text))
-    met = whole.join(kept, [whole["doc_id"].eqNullSafe(F.col("__id")), F.col("__key") == F.col("__md5")], "left_semi")
-    return met.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    """The rows of `docs`, all columns, of which one stays per class.
+
+    The rows are numbered and written out; what is not kept is dropped by its number where it lies.
+    """
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    gone = cut(near_duplicates(numbered, row="__row", **settings).where("not kept").select("__row"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return numbered.join(gone, "__row", "left_anti").drop("__row")
 
 
 def query(docs: DataFrame) -> DataFrame:
