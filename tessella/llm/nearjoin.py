@@ -6,9 +6,9 @@
    paths in some tree share that prefix meet, in the order of their paths, and are tied if their
    signatures agree well enough. A prefix is only opened if it brings together texts that longer
    ones did not tie into one family, and only texts of different families are compared in it.
-3. After each depth the recall is measured: a tie that was met in few trees stands for others that
-   were met in none. Texts of a size whose recall is below the target go on to the next shorter
-   prefix, the others stop.
+3. After each depth the recall is measured: by how far the signatures of the tied pairs agree, with
+   what chance are pairs like them met in some tree? Texts of a size whose recall is below the
+   target go on to the next shorter prefix, the others stop.
 4. A family's texts are fetched, dealt in blocks, and all pairs of it that can be similar by their
    sizes are verified exactly by a product of its shingle table; the pairs are counted, never written.
 """
@@ -148,36 +148,42 @@ def _ties(least: int) -> Callable:
     return run
 
 
-def _meet(texts: DataFrame, at: int, trees: int, depth: int, block: int, least: int) -> DataFrame:
-    """Ties (src, dst) at prefixes of `at` bytes among texts(row, size, sign, family)."""
+def _meet(texts: DataFrame, at: int, trees: int, depth: int, part: int, across: bool, least: int) -> tuple[DataFrame, bool]:
+    """Ties (src, dst) at prefixes of `at` bytes among texts(row, size, sign, family), and whether all that meet were compared.
+
+    A meeting of more than `part` texts is dealt to parts. Each is compared by itself, or, `across`,
+    with every other: then each text travels once for each part, which pays once families are tied.
+    """
     # Paths travel in hexadecimal: as raw bytes, ones that end in a zero byte would not compare in numpy.
     paths = texts.select("row", "family", F.posexplode(F.array(*[F.hex(F.substring("sign", t * depth + 1, at)) for t in range(trees)])).alias("tree", "path"))
     crowd = paths.groupBy("tree", "path").agg(F.count("*").alias("n"), F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi")
-    crowd = crowd.select("tree", "path", F.ceil(F.col("n") / (block // 2 or 1)).cast("int").alias("parts"))
-    # A meeting of many texts is dealt to pairs of parts, so that no task holds more than two parts of it.
-    met = paths.join(crowd, ["tree", "path"]).withColumn("part", F.expr("cast(pmod(xxhash64(row), parts) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    crowd = cut(crowd.select("tree", "path", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    met = paths.join(crowd, ["tree", "path"]).withColumn("part", F.expr("cast(pmod(xxhash64(row), parts) as int)"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("part"))
     met = met.select("row", "family", "tree", "path", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).join(texts.select("row", "sign"), "row")
     met = met.repartition("tree", "path", "p", "q").withColumn("steps", F.substring("sign", F.col("tree") * depth + 1, F.lit(depth))).sortWithinPartitions("tree", "path", "p", "q", "steps")
-    return met.select("row", "family", "tree", "path", "p", "q", "sign").mapInPandas(_ties(least), "src long, dst long")
+    ties = cut(met.select("row", "family", "tree", "path", "p", "q", "sign").mapInPandas(_ties(least), "src long, dst long"))
+    return ties, across or crowd.where("parts > 1").isEmpty()
 
 
-def measured(ties: DataFrame, texts: DataFrame, at: int, trees: int, depth: int) -> DataFrame:
-    """(band, recall): of the pairs like those tied, the share that prefixes of `at` bytes find, by the power of two of the size.
+def measured(ties: DataFrame, texts: DataFrame, at: int, trees: int, similar: float) -> DataFrame:
+    """(band, recall): of the pairs like those tied that look similar enough, the share that prefixes of `at` bytes find.
 
-    A pair met in t of the trees would be met in none with chance (1 - t / trees) ** trees, so it
-    stands for that many more than itself.
+    The share of signature bytes in which a tied pair agrees tells its similarity, and this with what chance
+    such a pair meets at all. A band is a power of two of the size.
     """
     ends = ties.join(texts.select(F.col("row").alias("src"), F.col("sign").alias("a"), "band"), "src").join(texts.select(F.col("row").alias("dst"), F.col("sign").alias("b")), "dst")
-    same = sum((F.substring("a", t * depth + 1, at) == F.substring("b", t * depth + 1, at)).cast("int") for t in range(trees))
-    ends = ends.select("band", F.greatest(same, F.lit(1)).alias("t"))
-    found = 1 - F.pow(1 - F.col("t") / trees, F.lit(trees))
-    return ends.groupBy("band").agg((F.count("*") / F.sum(1 / found)).alias("recall"))
+    byte = lambda c: F.split(F.regexp_replace(F.hex(c), "(..)", "$1 "), " ")
+    agree = F.aggregate(F.zip_with(byte("a"), byte("b"), lambda x, y: ((x == y) & (x != "")).cast("int")), F.lit(0), lambda n, x: n + x)
+    ends = ends.select("band", (agree / F.octet_length("a")).alias("s")).where(F.col("s") >= similar)
+    return ends.groupBy("band").agg(F.avg(1 - F.pow(1 - F.pow("s", F.lit(at)), F.lit(trees))).alias("recall"))
 
 
 def forest(texts: DataFrame, trees: int = TREES, depth: int = DEPTH, similar: float = SIMILAR, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(id, component): families of texts(row, size, sign), found from the longest prefixes to the shortest that the recall asks for.
 
-    A size without ties is judged by what a pair right at the threshold would meet with.
+    A size without ties is judged by what a pair right at the threshold would meet with. At the full
+    depth large meetings are tied part by part; shorter prefixes then compare what is left of them.
     """
     least = least_agreement(trees * depth, similar)
     texts = cut(texts.withColumn("band", F.floor(F.log2("size")).cast("int")))
@@ -188,13 +194,13 @@ def forest(texts: DataFrame, trees: int = TREES, depth: int = DEPTH, similar: fl
         if families is None:
             some = some.withColumn("family", F.col("row"))
         else:
-            some = some.join(families.withColumnRenamed("id", "row"), "row", "left").withColumn("family", F.coalesce("component", "row"))
-        new = cut(_meet(some, at, trees, depth, block, least))
+            some = cut(some.join(families.withColumnRenamed("id", "row"), "row", "left").withColumn("family", F.coalesce("component", "row")))
+        new, whole = _meet(some, at, trees, depth, block if at == depth else 2 * block, at < depth or depth == 1, least)
         if families is None or not new.isEmpty():
             ties = new if ties is None else ties.unionByName(new)
             families = cut(connected_components(ties))
-        seen = {r["band"]: r["recall"] for r in measured(ties, texts, at, trees, depth).collect()}
-        low = {b for b in open_ if seen.get(b, met_share(at, trees, similar)) < recall}
+        seen = {r["band"]: r["recall"] for r in measured(ties, texts, at, trees, similar).collect()}
+        low = {b for b in open_ if not whole or seen.get(b, met_share(at, trees, similar)) < recall}
         # A pair's sizes differ by less than a power of two, so the bands beside one that goes on do so too.
         open_ = {b for b in bands if {b - 1, b, b + 1} & low}
         if not open_:
