@@ -136,3 +136,34 @@ def constraint(edges: DataFrame) -> DataFrame:
 def effective_size(edges: DataFrame) -> DataFrame:
     """(id, effective_size): k - 2t / k with t ties among the neighbours."""
     return local_clustering(edges).select("id", (F.col("degree") - 2 * F.col("triangles") / F.col("degree")).alias("effective_size"))
+
+
+def log_binned_pdf(edges: DataFrame, per_decade: int = 10) -> DataFrame:
+    """(bin, n, density): nodes by logarithmic degree bin, over all nodes and the bin's width."""
+    n = degrees(edges).groupBy(F.floor(F.log10(F.col("degree").cast("double")) * per_decade + 1e-9).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    width = F.pow(F.lit(10.0), (F.col("bin") + 1) / per_decade) - F.pow(F.lit(10.0), F.col("bin") / per_decade)
+    return beside(n, n.agg(F.sum("n").alias("all"))).select("bin", "n", (F.col("n") / (F.col("all") * width)).alias("density"))
+
+
+def power_law_binned(edges: DataFrame, least: int = 5) -> DataFrame:
+    """(alpha, r2): a line through log bin centres and the bins' mean frequencies, to which every node gives its own degree's count."""
+    c = degrees(edges).where(F.col("degree") >= least).groupBy("degree").agg(F.count("*").alias("f"))
+    b = F.floor(F.log(F.col("degree") / float(least)) / F.log(F.lit(10**0.1)) + 1e-9)
+    y = c.groupBy(b.alias("bin")).agg((F.sum(F.col("f") * F.col("f")) / F.sum("f")).alias("y"))
+    at = (F.col("bin") + 0.5) / 10
+    return y.agg((-F.regr_slope(F.log10("y"), at)).alias("alpha"), F.regr_r2(F.log10("y"), at).alias("r2"))
+
+
+def rich_club(edges: DataFrame) -> DataFrame:
+    """(k, nodes, edges, phi): for every degree that some node exceeds, the nodes above it and the density of ties among them.
+
+    An edge counts for all k below its lower end: both are running sums over distinct degrees.
+    """
+    d = degrees(edges).select("id", "degree")
+    ends = edges.join(d.select(F.col("id").alias("src"), F.col("degree").alias("a")), "src").join(d.select(F.col("id").alias("dst"), F.col("degree").alias("b")), "dst")
+    low = ends.groupBy(F.least("a", "b").alias("k")).agg(F.count("*").alias("m"))
+    n = d.groupBy(F.col("degree").alias("k")).agg(F.count("*").alias("n")).join(low, "k", "left").na.fill(0, ["m"])
+    # A row per distinct degree, which are few beside the nodes.
+    above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    run = n.select("k", F.sum("n").over(above).alias("nodes"), F.sum("m").over(above).alias("edges")).where("nodes is not null")
+    return run.withColumn("phi", F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))))

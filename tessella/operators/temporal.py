@@ -103,3 +103,42 @@ def classify_slices(facts: DataFrame) -> DataFrame:
 def intervals(facts: DataFrame) -> DataFrame:
     """(author_id, first_year, last_year) of authors with a pair."""
     return both_ways(yearly_edges(facts).withColumn("weight", F.lit(1)).select("src", "dst", F.col("year").alias("weight"))).groupBy(F.col("id").alias("author_id")).agg(F.min("weight").alias("first_year"), F.max("weight").alias("last_year"))
+
+
+def tracker(facts: DataFrame) -> DataFrame:
+    """(src, dst, first_year, last_year, years, weight): the years a pair was active in, and its fractional weights of all years summed (4 places).
+
+    A paper belongs to its latest year, so a pair's yearly weights add up to its weight over all papers.
+    """
+    per = facts.groupBy("paper_id").agg(F.max("year").alias("year"))
+    each = pairs(facts).join(per, "paper_id").groupBy("src", "dst", "year").agg(F.sum(1.0 / (F.col("n") - 1)).alias("w"))
+    return each.groupBy("src", "dst").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count("*").alias("years"), F.round(F.sum("w"), 4).alias("weight"))
+
+
+def membership(first_years: DataFrame, networks: dict[str, DataFrame]) -> DataFrame:
+    """(id, first_year, degree_<network>.., membership): degrees (0 outside), and the last network in the given order that holds the node.
+
+    first_years has (id, first_year); a node in none is "outside". Degrees of wider networks are at least those of narrower ones.
+    """
+    out = first_years
+    for name, degrees_ in networks.items():
+        out = out.join(degrees_.select("id", F.col("degree").alias(f"degree_{name}")), "id", "left")
+    out = out.na.fill(0, [f"degree_{n}" for n in networks])
+    label = F.lit("outside")
+    for name in networks:
+        label = F.when(F.col(f"degree_{name}") > 0, name).otherwise(label)
+    names = list(networks)
+    wide = {f"degree_{n}": F.greatest(*[F.col(f"degree_{m}") for m in names[k:]]) if k < len(names) - 1 else F.col(f"degree_{n}") for k, n in enumerate(names)}
+    return out.withColumn("membership", label).withColumns(wide)
+
+
+def cumulative_degrees(facts: DataFrame, years: list[int]) -> DataFrame:
+    """(year, nodes, edges, avg_degree, density): the network of all papers up to each year, all in one pass over the pairs' first years."""
+    per = facts.groupBy("paper_id").agg(F.max("year").alias("year"))
+    first = pairs(facts).join(per, "paper_id").groupBy("src", "dst").agg(F.min("year").alias("first"))
+    nodes = first.select("first", F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.min("first").alias("first"))
+    # Counts per first year are as many as there are years; each later year adds them up.
+    later = F.explode(F.filter(F.array(*[F.lit(y) for y in years]), lambda y: y >= F.col("first"))).alias("year")
+    n = nodes.groupBy("first").agg(F.count("*").alias("n")).select("n", later).groupBy("year").agg(F.sum("n").alias("nodes"))
+    m = first.groupBy("first").agg(F.count("*").alias("n")).select("n", later).groupBy("year").agg(F.sum("n").alias("edges"))
+    return n.join(m, "year").select("year", "nodes", "edges", (2 * F.col("edges") / F.col("nodes")).alias("avg_degree"), (2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).alias("density"))

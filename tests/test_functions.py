@@ -14,7 +14,11 @@ def test_names(spark):
     assert one(spark, " O'Neil,  Ann-B. ", T.clean_text) == "o neil ann b"
     assert one(spark, "ann b neil", T.initials) == "abn"
     assert one(spark, " a; ;nan;B ", T.split_list) == ["a", "B"]
-    assert one(spark, "Morgan, DL (corresponding author), Univ P; Connell, S.D. (corresponding author), Q", T.corresponding_authors)[0] == "MORGAN, DL"
+    assert one(spark, "Okafor, N.U. (Corresponding Author), Lab One, Lagos; Lind, P (reprint author), Lab Two; okafor, nu (corresponding author), X", T.corresponding_authors) == ["OKAFOR, NU", "LIND, P"]
+    assert one(spark, "no marker, here", T.corresponding_authors) == []
+    assert [one(spark, v, T.year_of) for v in ("c. 1987-88", "n.d.", None)] == [1987, None, None]
+    assert [one(spark, v, T.part_count) for v in ("a; b;; ", "", None)] == [2, 0, 0] and one(spark, " a \t b ", T.squeeze) == "A B"
+    assert T.whole_log_bins(1, 9, 2) == [1, 3, 10]
 
 
 def test_addresses(spark):

@@ -134,6 +134,11 @@ def test_attack_and_boxes(spark):
     order = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)], "id long, rank long")
     got = [(r["removed"], r["lcc"], r["components"]) for r in kernels.attack_curve(e, order, 5).orderBy("step").collect()]
     assert got == [(0, 5, 1), (1, 1, 4), (2, 1, 3), (3, 1, 2), (4, 1, 1), (5, 0, 0)]
+    capacity = spark.createDataFrame([(0, 5.0), (2, None), (3, 2.0)], "id long, value double")
+    full = kernels.attack_curve(e, order, 5, capacity).orderBy("step").collect()
+    assert [(r["pairs"], r["capacity"]) for r in full] == [(10, 10.0), (0, 5.0), (0, 4.0), (0, 3.0), (0, 1.0), (0, 0.0)] and full[0]["capacity_lcc"] == 10
+    weak = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (0, 3, 2), (0, 4, 3)], "src long, dst long, rank long")
+    assert [(r["removed"], r["lcc"], r["components"], r["pairs"]) for r in kernels.edge_attack_curve(e, weak, 4).orderBy("step").collect()] == [(0, 5, 1, 10), (1, 4, 2, 6), (2, 3, 3, 3), (3, 2, 4, 1), (4, 1, 5, 0)]
     assert rows(kernels.box_counts(e, range(2, 4)), "box_size", "boxes") == {(2,): 1, (3,): 1}
     weighted = spark.createDataFrame([(1, 2, 3), (2, 3, 2), (1, 3, 1)], "src long, dst long, weight long")
     assert rows(kernels.spanning_tree(weighted), "src", "dst", "weight") == {(1, 2): 3, (2, 3): 2}
