@@ -62,3 +62,42 @@ def shannon(facts: DataFrame, group: str, label: str) -> DataFrame:
     p = n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
     out = p.groupBy(group).agg(F.count("*").alias("labels"), F.sum(-F.col("p") * F.log("p")).alias("h"))
     return out.select(group, "labels", F.round("h", 6).alias("entropy"), F.when(F.col("labels") > 1, F.round(F.col("h") / F.log("labels"), 6)).otherwise(0.0).alias("entropy_norm"))
+
+
+def team_sizes_with_missing(papers: DataFrame, facts: DataFrame) -> DataFrame:
+    """(team, papers, share) over all `papers` (paper_id): teams of 6 stand for larger ones, papers without authors
+    have a null team and no share, which is of papers with authors."""
+    sizes = facts.groupBy("paper_id").agg(F.least(F.countDistinct("author_id"), F.lit(6)).cast("int").alias("team"))
+    binned = papers.select("paper_id").distinct().join(sizes, "paper_id", "left").groupBy("team").agg(F.count("*").alias("papers"))
+    valid = F.sum(F.when(F.col("team").isNotNull(), F.col("papers"))).over(Window.partitionBy())  # seven rows at most
+    return binned.select("team", "papers", F.when(F.col("team").isNotNull(), F.round(100.0 * F.col("papers") / valid, 4)).alias("share"))
+
+
+def fractional_entropy(labels: DataFrame, group: str) -> DataFrame:
+    """Shannon entropy of labels by `group`, each paper's weight split evenly over its distinct labels.
+
+    `labels` holds (group, paper_id, label); a null label counts as the label 'missing'. With one
+    label the evenness is null.
+    """
+    distinct = labels.select(group, "paper_id", F.coalesce("label", F.lit("missing")).alias("label")).distinct()
+    sizes = distinct.groupBy(group, "paper_id").agg(F.count("*").alias("k"))
+    mass = distinct.join(sizes, [group, "paper_id"]).groupBy(group, "label").agg(F.sum(1 / F.col("k")).alias("m"))
+    total = mass.groupBy(group).agg(F.sum("m").alias("total"))
+    p = F.col("m") / F.col("total")
+    out = mass.join(total, group).groupBy(group).agg(F.count("*").alias("labels"), F.sum(-p * F.log(p)).alias("entropy"))
+    return out.withColumn("evenness", F.when(F.col("labels") > 1, F.col("entropy") / F.log("labels")))
+
+
+def ego_edge_stats(facts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, other, freq, avg_year, first_year, last_year, duration) for the seeds (id) and those they write with."""
+    own = facts.join(seeds, facts["author_id"] == seeds["id"]).select("paper_id", "year", F.col("id").alias("seed"))
+    met = own.join(facts.select("paper_id", F.col("author_id").alias("other")), "paper_id").where("seed <> other")
+    out = met.groupBy("seed", "other").agg(F.count("*").alias("freq"), F.avg("year").alias("avg_year"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    return out.withColumn("duration", F.col("last_year") - F.col("first_year"))
+
+
+def community_sizes_by_year(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(year, nodes, communities, avg_size): authors of a year that have a label (id, label); null size without one."""
+    active = facts.select("year", F.col("author_id").alias("id")).distinct().join(labels, "id", "left")
+    out = active.groupBy("year").agg(F.count("label").alias("nodes"), F.countDistinct("label").alias("communities"))
+    return out.withColumn("avg_size", F.when(F.col("communities") > 0, F.col("nodes") / F.col("communities")))

@@ -219,3 +219,33 @@ query("similar_names")(lambda s, d: people.similar_pairs(_instances(s, d).select
 query("author_summary", FACTS + " select author_id, (list_sort(list(distinct paper_id)))::varchar papers, (list_sort(list(distinct yr)))::varchar as years, count(distinct paper_id)::int paper_count, sum(cites)::bigint total_cites, any_value(p_brand) top_address, any_value(p_name) author_name from f join part on p_partkey = author_id group by author_id")(
     lambda s, d: people.author_summary(_records(s, d)).select("author_id", *[F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]")).alias(c) for c in ("papers", "years")], "paper_count", "total_cites", "top_address", "author_name")
 )
+
+
+# --- teams with missing ones, fractional labels, egos and sizes of communities
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    kinds = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return kinds.join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.year("o_orderdate").alias("year"), F.col("l_orderkey").alias("paper_id"), F.col("p_type").alias("label"))
+
+
+query("team_sizes_with_missing", f"with {_RAW}, n as (select paper_id, least(count(distinct author_id), 6)::int team from raw where pos > 1 group by all), b as (select team, count(*)::bigint papers from orders left join n on paper_id = o_orderkey group by all) select team, papers, case when team is not null then round(100.0::double * papers / sum(papers) filter (team is not null) over (), 4) end share from b")(
+    lambda s, d: authors.team_sizes_with_missing(
+        table(s, d, "orders").select(F.col("o_orderkey").alias("paper_id")), table(s, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("paper_id"), F.col("l_partkey").alias("author_id"))
+    )
+)
+query("discipline_entropy_fractional", "with x as (select distinct year(o_orderdate)::int as year, l_orderkey p, coalesce(p_type, 'missing') t from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey), w as (select year, t, 1 / count(*) over (partition by year, p)::double w from x), m as (select year, t, sum(w) m from w group by all), q as (select year, m / sum(m) over (partition by year) p from m) select year, count(*)::bigint labels, round(sum(-p * ln(p)), 6) entropy, round(case when count(*) > 1 then sum(-p * ln(p)) / ln(count(*)) end, 6) evenness from q group by all")(
+    lambda s, d: r6(authors.fractional_entropy(_labelled(s, d), "year"), "entropy", "evenness")
+)
+query("ego_edge_stats", FACTS + ", c as (select author_id, count(*) n from f group by all), z as (select author_id seed from c where n = (select max(n) from c)) select seed, o.author_id other, count(*)::bigint freq, round(avg(a.yr), 6) avg_year, min(a.yr) first_year, max(a.yr) last_year, max(a.yr) - min(a.yr) duration from z join f a on a.author_id = seed join f o on o.paper_id = a.paper_id and o.author_id <> seed group by all")(
+    lambda s, d: r6(authors.ego_edge_stats(authorships(s, d), _busiest(s, d)), "avg_year")
+)
+
+
+def _busiest(s: SparkSession, d: str) -> DataFrame:
+    """The authors with the most papers."""
+    n = counts(authorships(s, d))
+    return n.join(F.broadcast(n.agg(F.max("papers").alias("papers"))), "papers", "left_semi").select("id")
+
+
+query("community_sizes_by_year", FACTS + _BRAND + " select yr as year, count(distinct author_id)::bigint nodes, count(distinct label)::bigint communities, round(count(distinct author_id) / count(distinct label)::double, 6) avg_size from f join br on id = author_id group by all")(
+    lambda s, d: r6(authors.community_sizes_by_year(authorships(s, d), brands(s, d)), "avg_size")
+)
