@@ -167,3 +167,15 @@ def rich_club(edges: DataFrame) -> DataFrame:
     above = Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     run = n.select("k", F.sum("n").over(above).alias("nodes"), F.sum("m").over(above).alias("edges")).where("nodes is not null")
     return run.withColumn("phi", F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))))
+
+
+def freeman(scores: DataFrame, column: str) -> DataFrame:
+    """(n, centralisation) of normalised closeness or betweenness, 1 for a star; null below three nodes.
+
+    `scores` holds one row per node; `column`, "closeness" or "betweenness", names the score and
+    with it the largest sum of gaps to the maximum that a graph of n nodes can have.
+    """
+    n = F.col("n")
+    most = {"closeness": (n - 1) * (n - 2) / (2 * n - 3), "betweenness": n - 1}[column]
+    out = scores.agg(F.count("*").alias("n"), F.max(column).alias("top"), F.sum(column).alias("sum"))
+    return out.select("n", F.when(n > 2, (n * F.col("top") - F.col("sum")) / most).alias("centralisation"))

@@ -9,7 +9,7 @@ from tessella.facts import authorships, coactive, table
 from tessella.functions import text as T
 from tessella.operators import authors, community, graph, kernels, metrics, paths, people, project, tabulate, temporal
 from tessella.operators.ranking import beside, positions
-from tessella.plans.registry import _ALPHA, _PART, _RAW, _TRI, _YE, FACTS, SMALL, SPARSE, parts, query, r6, simple, small, sparse, sparse_facts
+from tessella.plans.registry import _ALPHA, _PART, _RAW, _REACH, _TRI, _YE, FACTS, SMALL, SPARSE, parts, query, r6, simple, small, sparse, sparse_facts
 
 _METRICS = ", rk as (select *, row_number() over w i, sum(cites) over w c from f window w as (partition by author_id order by cites desc, paper_id)), am as (select author_id id, count(*) papers, min(yr) y1, max(yr) y2, sum(cites) total_cites, coalesce(max(case when cites >= i then i end), 0) h, coalesce(max(case when c >= i * i then i end), 0) g from rk group by author_id)"
 #: Brands stand for communities of the parts.
@@ -249,3 +249,4 @@ def _busiest(s: SparkSession, d: str) -> DataFrame:
 query("community_sizes_by_year", FACTS + _BRAND + " select yr as year, count(distinct author_id)::bigint nodes, count(distinct label)::bigint communities, round(count(distinct author_id) / count(distinct label)::double, 6) avg_size from f join br on id = author_id group by all")(
     lambda s, d: r6(authors.community_sizes_by_year(authorships(s, d), brands(s, d)), "avg_size")
 )
+simple("closeness_centralisation", lambda e: metrics.freeman(paths.closeness(e), "closeness"), SMALL + _REACH + ", c as (select source id, count(*) - 1 r, sum(h) t from hop group by source), v as (select case when t > 0 then (r / t::double) * (r / ((select count(*) from d) - 1)::double) else 0.0::double end x from c) select count(*)::bigint n, round((count(*) * max(x) - sum(x)) / ((count(*) - 1) * (count(*) - 2) / (2 * count(*) - 3)::double), 6) centralisation from v", "centralisation")

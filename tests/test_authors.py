@@ -1,8 +1,8 @@
-"""Author statistics on tables small enough to count by hand."""
+"""Author statistics and centralisation on tables small enough to count by hand."""
 
 import math
 
-from tessella.operators import authors
+from tessella.operators import authors, kernels, metrics, paths
 
 
 def test_missing_teams_have_no_share(spark):
@@ -32,3 +32,13 @@ def test_years_without_communities(spark):
     facts = spark.createDataFrame([(1, 1, 2000), (1, 2, 2000), (2, 3, 2001)], "paper_id long, author_id long, year int")
     labels = spark.createDataFrame([(1, "x"), (2, "x")], "id long, label string")
     assert {tuple(r) for r in authors.community_sizes_by_year(facts, labels).collect()} == {(2000, 2, 1, 2.0), (2001, 0, 0, None)}
+
+
+def test_freeman(spark):
+    """A star is wholly centralised, a ring not at all, two nodes have no value."""
+    star = spark.createDataFrame([(0, k, 1) for k in range(1, 6)], "src long, dst long, weight long")
+    ring = spark.createDataFrame([(k, (k + 1) % 5, 1) for k in range(5)], "src long, dst long, weight long")
+    for graph, want in ((star, 1.0), (ring, 0.0)):
+        for scores, column in ((paths.closeness(graph), "closeness"), (kernels.betweenness(graph), "betweenness")):
+            assert abs(metrics.freeman(scores, column).first()["centralisation"] - want) < 1e-9
+    assert metrics.freeman(spark.createDataFrame([(0, 1.0), (1, 1.0)], "id long, closeness double"), "closeness").first()["centralisation"] is None
