@@ -234,7 +234,7 @@ query("name_blocks", "with n as (select distinct p_name from part) select list_a
 
 # --- sequential kernels: checked by invariants in the tests
 query("betweenness")(lambda s, d: r6(kernels.betweenness(small(s, d)), "betweenness"))
-query("attack_curve_degree")(lambda s, d: kernels.attack_curve(small(s, d), positions(graph.degrees(small(s, d)), F.desc("degree"), F.asc("id")).withColumnRenamed("position", "rank")))
+query("attack_curve_degree")(lambda s, d: twins.attack_curve_by_degree(coactive(s, d)))
 query("box_counts")(lambda s, d: kernels.box_counts(small(s, d)))
 query("core_hd")(lambda s, d: kernels.core_hd(small(s, d)))
 query("spanning_tree")(lambda s, d: twins.spanning_tree(coactive(s, d)))
