@@ -171,7 +171,7 @@ simple("effective_size", metrics.effective_size, SMALL + _TRI + " select id, rou
 
 # --- paths
 simple("hop_distances", lambda e: paths.hops(e).withColumn("d", F.col("d").cast("long")), SMALL + _REACH + " select source, id, h::bigint d from hop")
-simple("closeness", paths.closeness, SMALL + _REACH + ", c as (select source id, count(*) - 1 r, sum(h) t from hop group by source) select id, case when t > 0 then round((r / t::double) * (r / ((select count(*) from d) - 1)::double), 6) else 0.0::double end closeness from c", "closeness")
+counted("closeness", twins.closeness, SMALL + _REACH + ", c as (select source id, count(*) - 1 r, sum(h) t from hop group by source) select id, case when t > 0 then round((r / t::double) * (r / ((select count(*) from d) - 1)::double), 6) else 0.0::double end closeness from c", "closeness")
 simple("path_summary", paths.path_summary, SMALL + _REACH + " select round(avg(h), 6) avg_path, max(h)::bigint diameter, round(sum(1.0::double / h) / ((select count(*) from d) * ((select count(*) from d) - 1)), 6) efficiency from hop where h > 0", "avg_path", "efficiency")
 for _r in (1, 2):
     simple(f"ego_{_r}", lambda e, r=_r: paths.ego(e, graph.degrees(e).orderBy(F.desc("degree"), "id").limit(6), r), SMALL + f", seed as (select id from d order by degree desc, id limit 6), walk(source, id, h) as (select id, id, 0 from seed union select w.source, s.other, w.h + 1 from walk w join s on s.id = w.id where w.h < {_r}), m as (select distinct source, id from walk) select m.source seed, src, dst, weight from e join m on m.id = src join m k on k.source = m.source and k.id = dst")
