@@ -236,7 +236,7 @@ query("name_blocks", "with n as (select distinct p_name from part) select list_a
 query("betweenness")(lambda s, d: r6(twins.betweenness(coactive(s, d)), "betweenness"))
 query("attack_curve_degree")(lambda s, d: twins.attack_curve_by_degree(coactive(s, d)))
 query("box_counts")(lambda s, d: twins.box_counts(coactive(s, d)))
-query("core_hd")(lambda s, d: kernels.core_hd(small(s, d)))
+query("core_hd")(lambda s, d: twins.core_hd(coactive(s, d)))
 query("spanning_tree")(lambda s, d: twins.spanning_tree(coactive(s, d)))
 
 
