@@ -163,7 +163,7 @@ counted("avg_clustering", twins.local_clustering, SMALL + _TRI + " select id, de
 simple("transitivity", metrics.transitivity, SMALL + _TRI + " select round(2.0::double * sum(triangles) / sum(degree * (degree - 1)), 6) transitivity, round(avg(clustering), 6) avg_clustering from lc", "transitivity", "avg_clustering")
 counted("clustering_logbin", lambda f: twins.local_clustering(f).where("degree >= 5 and clustering > 0").groupBy(T.log_bin(F.col("degree"), 5).alias("bin")).agg(F.count("*").alias("n"), F.avg("clustering").alias("mean"), F.median("clustering").alias("median")), SMALL + _TRI + " select floor(ln(degree / 5.0::double) / ln(pow(10.0::double, 0.1::double)) + 0.000000001)::bigint bin, count(*)::bigint n, round(avg(clustering), 6) mean, round(median(clustering), 6) median from lc where degree >= 5 and clustering > 0 group by bin", "mean", "median")
 simple("knn_by_degree", metrics.neighbour_degree, SMALL + ", m as (select s.id, avg(d.degree) m from s join d on d.id = s.other group by s.id) select degree, round(avg(m), 6) knn from m join d using (id) group by degree", "knn")
-simple("edge_overlap", metrics.edge_overlap, SMALL + ", c as (select e.src, e.dst, count(*) c from e join s a on a.id = e.src join s b on b.id = e.dst and b.other = a.other group by all) select e.src, e.dst, case when x.degree + y.degree - 2 - coalesce(c, 0) > 0 then round(coalesce(c, 0) / (x.degree + y.degree - 2 - coalesce(c, 0))::double, 6) else 0.0::double end overlap from e left join c using (src, dst) join d x on x.id = e.src join d y on y.id = e.dst", "overlap")
+counted("edge_overlap", twins.edge_overlap, SMALL + ", c as (select e.src, e.dst, count(*) c from e join s a on a.id = e.src join s b on b.id = e.dst and b.other = a.other group by all) select e.src, e.dst, case when x.degree + y.degree - 2 - coalesce(c, 0) > 0 then round(coalesce(c, 0) / (x.degree + y.degree - 2 - coalesce(c, 0))::double, 6) else 0.0::double end overlap from e left join c using (src, dst) join d x on x.id = e.src join d y on y.id = e.dst", "overlap")
 simple("centralization", metrics.centralisation, SMALL + " select round((count(*) * max(degree) - sum(degree)) / ((count(*) - 1) * (count(*) - 2))::double, 6) degree_centralisation, round((count(*) - sum(strength) / max(strength)::double) / (count(*) - 1), 6) strength_centralisation from d", "degree_centralisation", "strength_centralisation")
 simple("joint_degree_real", metrics.joint_degrees, SMALL + " select least(a.degree, b.degree) k1, greatest(a.degree, b.degree) k2, count(*)::bigint n, round(count(*) / sum(count(*)) over ()::double, 6) p from e join d a on a.id = src join d b on b.id = dst group by 1, 2", "p")
 counted("constraint_burt", twins.constraint, SMALL + ", p as (select s.id, other, weight / strength::double p from s join d using (id)), v as (select a.id, b.other, sum(a.p * b.p) v from p a join p b on b.id = a.other where a.id <> b.other group by all) select p.id, round(sum(power(p.p + coalesce(v, 0), 2)), 6) \"constraint\" from p left join v on v.id = p.id and v.other = p.other group by p.id", "constraint")
