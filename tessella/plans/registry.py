@@ -182,7 +182,7 @@ query("leaderrank")(lambda s, d: r6(twins.leader_rank(coactive(s, d), 10), "scor
 # --- communities, with a partition that SQL can name
 simple("ei_index", lambda e: community.ei_index(e, parts(e)), SMALL + _PART + ", y as (select label, id, count(*) filter (label <> label2) e, count(*) filter (label = label2) i from x group by all) select label, round((sum(e) - sum(i)) / sum(e + i)::double, 6) ei, round(avg((e - i) / (e + i)::double), 6) mean_ei from y group by label", "ei", "mean_ei")
 _PZ = _PART + ", y as (select id, label, label2, sum(weight) w from x group by all), q as (select *, w / sum(w) over (partition by id)::double h from y), g as (select id, label, 1 - sum(h * h) p, coalesce(sum(case when label = label2 then w end), 0)::bigint internal from q group by all), z as (select label, avg(internal) m, stddev_pop(internal) sd from g group by label), zz as (select id, g.label, internal, p, case when sd > 0 then (internal - m) / sd else 0 end z from g join z on z.label = g.label)"
-simple("participation_z", lambda e: community.participation(e, parts(e)), SMALL + _PZ + " select id, label, internal, round(p, 6) p, round(z, 6) z from zz", "p", "z")
+counted("participation_z", lambda f: twins.participation(f, _linked_parts(f)), SMALL + _PZ + " select id, label, internal, round(p, 6) p, round(z, 6) z from zz", "p", "z")
 simple("role_distribution", lambda e: community.roles(community.participation(e, parts(e))).groupBy("role").agg(F.count("*").alias("n")), SMALL + _PZ + " select case when z < 2.5 then case when p <= 0.05 then 'ultra_peripheral' when p <= 0.62 then 'peripheral' when p <= 0.80 then 'connector' else 'kinless' end else case when p <= 0.30 then 'provincial_hub' when p <= 0.75 then 'connector_hub' else 'kinless_hub' end end as role, count(*)::bigint n from zz group by 1")
 simple("block_matrix", lambda e: community.block_matrix(e, parts(e)), SMALL + _PART + " select label, label2, (sum(weight) / case when label = label2 then 2 else 1 end)::double weight from x group by label, label2")
 simple("modularity", lambda e: community.modularity(e, parts(e)), SMALL + _PART + ", y as (select label, sum(case when label = label2 then weight else 0 end) i, sum(weight) g from x group by label) select round(sum(q), 6) q from (select i / sum(g) over ()::double - power(g / sum(g) over ()::double, 2) q from y)", "q")
