@@ -167,7 +167,7 @@ counted("edge_overlap", twins.edge_overlap, SMALL + ", c as (select e.src, e.dst
 simple("centralization", metrics.centralisation, SMALL + " select round((count(*) * max(degree) - sum(degree)) / ((count(*) - 1) * (count(*) - 2))::double, 6) degree_centralisation, round((count(*) - sum(strength) / max(strength)::double) / (count(*) - 1), 6) strength_centralisation from d", "degree_centralisation", "strength_centralisation")
 simple("joint_degree_real", metrics.joint_degrees, SMALL + " select least(a.degree, b.degree) k1, greatest(a.degree, b.degree) k2, count(*)::bigint n, round(count(*) / sum(count(*)) over ()::double, 6) p from e join d a on a.id = src join d b on b.id = dst group by 1, 2", "p")
 counted("constraint_burt", twins.constraint, SMALL + ", p as (select s.id, other, weight / strength::double p from s join d using (id)), v as (select a.id, b.other, sum(a.p * b.p) v from p a join p b on b.id = a.other where a.id <> b.other group by all) select p.id, round(sum(power(p.p + coalesce(v, 0), 2)), 6) \"constraint\" from p left join v on v.id = p.id and v.other = p.other group by p.id", "constraint")
-simple("effective_size", metrics.effective_size, SMALL + _TRI + " select id, round(degree - 2.0::double * triangles / degree, 6) effective_size from lc", "effective_size")
+counted("effective_size", twins.effective_size, SMALL + _TRI + " select id, round(degree - 2.0::double * triangles / degree, 6) effective_size from lc", "effective_size")
 
 # --- paths
 counted("hop_distances", lambda f: twins.hops(f).withColumn("d", F.col("d").cast("long")), SMALL + _REACH + " select source, id, h::bigint d from hop")
