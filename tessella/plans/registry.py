@@ -160,7 +160,7 @@ simple("struct_entropy", metrics.structural_entropy, SMALL + ", n as (select deg
 simple("struct_entropy_delta", lambda e: metrics.structural_entropy(e, 1e-4), SMALL + ", n as (select degree, count(*) n from d group by degree), p as (select *, (degree + 1) * (1 - n / sum(n) over ()::double + 0.0001) r from n), i as (select n, r / sum(r * n) over () i from p) select round(-sum(case when i > 0 then n * i * ln(i) else 0 end), 6) entropy, round(-sum(case when i > 0 then n * i * ln(i) else 0 end) / ln(sum(n)), 6) entropy_norm from i", "entropy", "entropy_norm")
 simple("assortativity", metrics.assortativity, SMALL + " select round(corr(a.degree, b.degree), 6) assortativity from s join d a on a.id = s.id join d b on b.id = s.other", "assortativity")
 counted("avg_clustering", twins.local_clustering, SMALL + _TRI + " select id, degree, triangles, round(clustering, 6) clustering from lc", "clustering")
-simple("transitivity", metrics.transitivity, SMALL + _TRI + " select round(2.0::double * sum(triangles) / sum(degree * (degree - 1)), 6) transitivity, round(avg(clustering), 6) avg_clustering from lc", "transitivity", "avg_clustering")
+counted("transitivity", twins.transitivity, SMALL + _TRI + " select round(2.0::double * sum(triangles) / sum(degree * (degree - 1)), 6) transitivity, round(avg(clustering), 6) avg_clustering from lc", "transitivity", "avg_clustering")
 counted("clustering_logbin", lambda f: twins.local_clustering(f).where("degree >= 5 and clustering > 0").groupBy(T.log_bin(F.col("degree"), 5).alias("bin")).agg(F.count("*").alias("n"), F.avg("clustering").alias("mean"), F.median("clustering").alias("median")), SMALL + _TRI + " select floor(ln(degree / 5.0::double) / ln(pow(10.0::double, 0.1::double)) + 0.000000001)::bigint bin, count(*)::bigint n, round(avg(clustering), 6) mean, round(median(clustering), 6) median from lc where degree >= 5 and clustering > 0 group by bin", "mean", "median")
 simple("knn_by_degree", metrics.neighbour_degree, SMALL + ", m as (select s.id, avg(d.degree) m from s join d on d.id = s.other group by s.id) select degree, round(avg(m), 6) knn from m join d using (id) group by degree", "knn")
 counted("edge_overlap", twins.edge_overlap, SMALL + ", c as (select e.src, e.dst, count(*) c from e join s a on a.id = e.src join s b on b.id = e.dst and b.other = a.other group by all) select e.src, e.dst, case when x.degree + y.degree - 2 - coalesce(c, 0) > 0 then round(coalesce(c, 0) / (x.degree + y.degree - 2 - coalesce(c, 0))::double, 6) else 0.0::double end overlap from e left join c using (src, dst) join d x on x.id = e.src join d y on y.id = e.dst", "overlap")
