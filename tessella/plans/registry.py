@@ -174,7 +174,7 @@ counted("hop_distances", lambda f: twins.hops(f).withColumn("d", F.col("d").cast
 counted("closeness", twins.closeness, SMALL + _REACH + ", c as (select source id, count(*) - 1 r, sum(h) t from hop group by source) select id, case when t > 0 then round((r / t::double) * (r / ((select count(*) from d) - 1)::double), 6) else 0.0::double end closeness from c", "closeness")
 counted("path_summary", twins.path_summary, SMALL + _REACH + " select round(avg(h), 6) avg_path, max(h)::bigint diameter, round(sum(1.0::double / h) / ((select count(*) from d) * ((select count(*) from d) - 1)), 6) efficiency from hop where h > 0", "avg_path", "efficiency")
 for _r in (1, 2):
-    simple(f"ego_{_r}", lambda e, r=_r: paths.ego(e, graph.degrees(e).orderBy(F.desc("degree"), "id").limit(6), r), SMALL + f", seed as (select id from d order by degree desc, id limit 6), walk(source, id, h) as (select id, id, 0 from seed union select w.source, s.other, w.h + 1 from walk w join s on s.id = w.id where w.h < {_r}), m as (select distinct source, id from walk) select m.source seed, src, dst, weight from e join m on m.id = src join m k on k.source = m.source and k.id = dst")
+    counted(f"ego_{_r}", lambda f, r=_r: twins.ego(f, 6, r), SMALL + f", seed as (select id from d order by degree desc, id limit 6), walk(source, id, h) as (select id, id, 0 from seed union select w.source, s.other, w.h + 1 from walk w join s on s.id = w.id where w.h < {_r}), m as (select distinct source, id from walk) select m.source seed, src, dst, weight from e join m on m.id = src join m k on k.source = m.source and k.id = dst")
 simple("katz_fixed_iter", lambda e: paths.katz(e, 0.01, 3), SMALL + ", k1 as (select id, 1 + 0.01::double * count(*) x from s group by id), k2 as (select s.id, 1 + 0.01::double * sum(x) x from s join k1 on k1.id = s.other group by s.id) select s.id, round(1 + 0.01::double * sum(x), 6) katz from s join k2 on k2.id = s.other group by s.id", "katz")
 simple("kcore2", graph.k_core, SMALL + ", one as (select id from d where degree < 2), e2 as (select * from e where src not in (from one) and dst not in (from one)), d2 as (select id, count(*) k from (select src id from e2 union all select dst from e2) group by id), two as (select id from d2 where k < 2), e3 as (select * from e2 where src not in (from two) and dst not in (from two)), d3 as (select id, count(*) k from (select src id from e3 union all select dst from e3) group by id), three as (select id from d3 where k < 2) select * from e3 where src not in (from three) and dst not in (from three)")
 query("leaderrank")(lambda s, d: r6(twins.leader_rank(coactive(s, d), 10), "score"))
